@@ -110,3 +110,43 @@ def poisson_sql(docs: str, out: str = "doc_id, text, lang, source, n_chars, copy
 
 
 ORACLES["op2_poisson_mix"] = poisson_sql("documents")
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that each text names or holds, as comma-joined strings."""
+    from pyspark.sql import functions as F
+
+    from quarrystone.llm.licenses import scan
+
+    rows = scan(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), F.size("licenses").alias("n_licenses"), "n_matches")
+
+
+def _op9_sql() -> str:
+    from quarrystone.llm.licenses import ENDS, catalogue, ordered_rules
+
+    known = ", ".join(f"('{s}', '{i}')" for s, i in catalogue().items())
+    each = ["".join(f"(?:<{p[:-1]}>)?" if p.endswith("?") else f"<{p}>" for p in ids) for _, ids in ordered_rules()]
+    pattern = "|".join(f"({p})" for p in each)
+    cases = " ".join(f"WHEN regexp_full_match(m, '{p}') THEN '{name}'" for p, (name, _) in zip(each, ordered_rules(), strict=True))
+    return rf"""
+    WITH known(sentence, id) AS (VALUES {known}),
+    docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    cut AS (
+      SELECT row, unnest(list_transform(string_split(regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '{ENDS}', chr(10), 'g'), '[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g'), chr(10)), lambda s: trim(s))) AS sentence,
+             generate_subscripts(string_split(regexp_replace(text, '{ENDS}', chr(10), 'g'), chr(10)), 1) AS place
+      FROM docs
+    ),
+    ids AS (SELECT row, string_agg(id, ',' ORDER BY place) AS ids, '<' || string_agg(id, '><' ORDER BY place) || '>' AS joined FROM cut JOIN known USING (sentence) GROUP BY row),
+    matches AS (SELECT row, unnest(regexp_extract_all(joined, '{pattern}')) AS m, generate_subscripts(regexp_extract_all(joined, '{pattern}'), 1) AS place FROM ids),
+    named AS (SELECT row, place, CASE {cases} END AS license FROM matches),
+    firsts AS (SELECT row, license, min(place) AS place, count(*) AS n FROM named GROUP BY row, license),
+    found AS (SELECT row, string_agg(license, ',' ORDER BY place) AS licenses, count(*) AS n_licenses, sum(n) AS n_matches FROM firsts GROUP BY row)
+    SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses,
+           CAST(coalesce(n_licenses, 0) AS INT) AS n_licenses, CAST(coalesce(n_matches, 0) AS INT) AS n_matches
+    FROM docs LEFT JOIN ids USING (row) LEFT JOIN found USING (row)"""
+
+
+ORACLES["op9_license_scan"] = _op9_sql()
