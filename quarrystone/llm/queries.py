@@ -158,3 +158,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrystone.llm.url_filter import judge
 
     return judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and linked weak parts of every text."""
+    from quarrystone.llm.secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
