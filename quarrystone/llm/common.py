@@ -36,3 +36,12 @@ def text_or_empty(column: Column) -> Column:
 def hex32(value: Column) -> Column:
     """Eight lowercase hex digits of the low 32 bits."""
     return F.lower(F.lpad(F.hex(value.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+
+
+def ship(module: str) -> None:
+    """Has the module's functions sent to the workers by value, so that they need no copy of this package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -166,3 +166,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrystone.llm.secrets import report
 
     return report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from quarrystone.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
