@@ -191,3 +191,38 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between the pages' records and a replica with known damage.
+
+    The replica lacks the pages whose id leaves 13 modulo 101, and has the last
+    character of the content changed where it leaves 7 modulo 97.
+    """
+    from pyspark.sql import functions as F
+
+    from quarrystone.llm.warc_audit import audit
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    damaged = F.when(F.col("page_id") % 97 == 7, F.concat(F.expr("left(html, length(html) - 1)"), F.lit("\u0000"))).otherwise(F.col("html"))
+    replica = pages.where(F.coalesce(F.col("page_id") % 101 != 13, F.lit(True))).select("page_id", "url", damaged.alias("html"))
+    return audit(pages, replica)
+
+
+ORACLES["op8_warc_audit"] = r"""
+    WITH records AS (
+      SELECT page_id, html,
+             strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') ||
+                    chr(13) || chr(10) || 'WARC-Record-ID: <urn:sha256:') + 64 +
+             strlen('>' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))) +
+             8 + strlen(coalesce(html, '')) AS length
+      FROM pages
+    ), placed AS (
+      SELECT page_id, html, CAST(floor(page_id / 4096.0) AS BIGINT) AS archive, length,
+             coalesce(sum(length) OVER (PARTITION BY CAST(floor(page_id / 4096.0) AS BIGINT) ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
+      FROM records
+    )
+    SELECT archive, page_id, CAST(o AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length,
+           CASE WHEN page_id % 101 = 13 THEN 'missing' ELSE 'changed' END AS status
+    FROM placed WHERE page_id % 101 = 13 OR (page_id % 97 = 7 AND html IS NOT NULL)"""
