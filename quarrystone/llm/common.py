@@ -12,21 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (a local session, as in tests) is a
-    folder of our own chosen.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where that setting is absent (a local session, as in tests) one of our own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 
 
-def named(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Only the named columns, each taken from this frame even where names clash in case."""
-    return df.select(*[df[c] for c in columns])
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def text_or_empty(column: Column) -> Column:

@@ -91,35 +91,38 @@ def contained(own: list[tuple[str, ...]], text: str) -> int:
     return len(set(own) & {tuple(w[i : i + k]) for i in range(len(w) - k + 1)})
 
 
+def _found(sketches: Sketches, threshold: float, texts: pa.Array) -> Iterator[tuple[int, int, float]]:
+    """(place of the text, place of the item, containment) for every item that a text holds."""
+    for first, _, bounds, (h,) in words(texts):
+        for k, (probe, item_of) in sketches.by_length.items():
+            hashes, owner = shingle_hashes(h, bounds, k)
+            hit = _members(hashes, probe)
+            if not len(hit):
+                continue
+            pairs = set()
+            for i in hit.tolist():
+                lo, hi = np.searchsorted(probe, hashes[i], "left"), np.searchsorted(probe, hashes[i], "right")
+                pairs.update((int(owner[i]), int(m)) for m in item_of[lo:hi])
+            begins = np.searchsorted(owner, np.arange(len(bounds)))
+            own_of, own_hashes = -1, hashes[:0]
+            for d, m in sorted(pairs):
+                if d != own_of:
+                    own_of, own_hashes = d, np.unique(hashes[begins[d] : begins[d + 1]])
+                mine = sketches.hashes[m]
+                at = np.searchsorted(own_hashes, mine)
+                n = int((own_hashes[np.minimum(at, len(own_hashes) - 1)] == mine).sum())
+                if n >= threshold * len(mine) - 1e-9:  # then the strings themselves
+                    own = sketches.shingles[m]
+                    n = contained(own, texts[first + d].as_py())
+                    if n >= threshold * len(own) - 1e-9:
+                        yield first + d, m, n / len(own)
+
+
 def _search(sketches: Sketches, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            out: list[tuple] = []
-            for first, _, bounds, (h,) in words(texts):
-                for k, (probe, item_of) in sketches.by_length.items():
-                    hashes, owner = shingle_hashes(h, bounds, k)
-                    # the few sketch hashes are looked up among the many of the documents
-                    hit = _members(hashes, probe)
-                    if not len(hit):
-                        continue
-                    pairs = set()
-                    for i in hit.tolist():
-                        lo, hi = np.searchsorted(probe, hashes[i], "left"), np.searchsorted(probe, hashes[i], "right")
-                        pairs.update((int(owner[i]), int(m)) for m in item_of[lo:hi])
-                    begins = np.searchsorted(owner, np.arange(len(bounds)))
-                    seen: dict[int, np.ndarray] = {}
-                    for d, m in sorted(pairs):
-                        if d not in seen:
-                            seen = {d: np.unique(hashes[begins[d] : begins[d + 1]])}
-                        mine = sketches.hashes[m]
-                        at = np.searchsorted(seen[d], mine)
-                        n = int((seen[d][np.minimum(at, len(seen[d]) - 1)] == mine).sum())
-                        if n >= threshold * len(mine) - 1e-9:  # then the strings themselves
-                            own = sketches.shingles[m]
-                            n = contained(own, texts[first + d].as_py())
-                            if n >= threshold * len(own) - 1e-9:
-                                out.append((ids[first + d].as_py(), sketches.ids[m], n / len(own), len(own)))
+            ids = batch.column(0)
+            out = [(ids[i].as_py(), sketches.ids[m], c, len(sketches.shingles[m])) for i, m, c in _found(sketches, threshold, batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "containment", "shingles"])
 
     return run
@@ -135,42 +138,63 @@ def _members(hashes: np.ndarray, probe: np.ndarray) -> np.ndarray:
     return maybe[probe[np.minimum(at, len(probe) - 1)] == hashes[maybe]]
 
 
+def _items(benchmark: DataFrame, broadcast_bytes: int) -> tuple[DataFrame, list[tuple] | None]:
+    """The items, and as a list where they are small enough for every worker."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("b")).first()["b"]
+    return items, [tuple(r) for r in items.collect()] if size <= broadcast_bytes else None
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, containment, shingles of the item: a row for every item that a document holds."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    items, few = _items(benchmark, broadcast_bytes)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("b")).first()["b"]
     schema = "doc_id long, item_id long, containment double, shingles long"
-    if size <= broadcast_bytes:
-        return texts.mapInArrow(_search(Sketches.of([tuple(r) for r in items.collect()]), threshold), schema)
-    return _by_shuffle(texts, items, threshold, schema)
+    if few is not None:
+        return texts.mapInArrow(_search(Sketches.of(few), threshold), schema)
+    return _by_shuffle(texts.withColumn("row", F.monotonically_increasing_id()), items, threshold).select("doc_id", "item_id", "containment", "shingles")
 
 
-def _by_shuffle(texts: DataFrame, items: DataFrame, threshold: float, schema: str) -> DataFrame:
-    """The same for a benchmark of any size: all shingles of both sides meet by hash, then shingle by shingle."""
-    lengths = sorted({len(s[0]) for s in (shingles_of(" ".join("x" * n)) for n in range(1, SHINGLE + 1))})
+def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns."""
+    items, few = _items(benchmark, broadcast_bytes)
+    if few is None:  # by the text's hash: equal texts hold the same items
+        texts = docs.select(F.xxhash64("text").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+        bad = _by_shuffle(texts, items, threshold).select(F.col("row").alias("__bad")).distinct()
+        return docs.join(bad, F.xxhash64(docs["text"]) == bad["__bad"], "left_anti")
+    sketches, at = Sketches.of(few), docs.columns.index("text")
 
-    def cut(one_length: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for i, _, _ in _found(sketches, threshold, batch.column(at).cast(pa.string())):
+                keep[i] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _by_shuffle(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """The same for a benchmark of any size: the shingles of both sides meet as strings.
+
+    ``texts`` has row (its key), doc_id and text. A shingle that a third of all documents hold
+    is one row per document there, and adaptive execution splits its join.
+    """
+
+    def cut(lengths: tuple[int, ...]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                for row, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     w = text_words(text)
-                    ks = [min(len(w), SHINGLE)] if one_length else lengths
-                    out = {" ".join(w[i : i + k]) for k in ks if k for i in range(len(w) - k + 1)}
+                    ks = lengths or (min(len(w), SHINGLE),)
+                    out = sorted({" ".join(w[i : i + k]) for k in ks if k for i in range(len(w) - k + 1)})
                     if out:
-                        yield pa.RecordBatch.from_arrays([pa.array([batch.column(2)[row].as_py()] * len(out), pa.int64()), pa.array([key] * len(out), pa.int64()), pa.array(sorted(out)), pa.array([len(out)] * len(out), pa.int64())], names=["row", "key", "shingle", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(out), pa.int64()), pa.array([key] * len(out), pa.int64()), pa.array(out), pa.array([len(out)] * len(out), pa.int64())], names=["row", "key", "shingle", "n"])
 
         return run
 
     spec = "row long, key long, shingle string, n long"
-    numbered = lambda df: df.withColumn("row", F.monotonically_increasing_id())
-    left = numbered(items).mapInArrow(cut(True), spec).select(F.col("row").alias("item_row"), F.col("key").alias("item_id"), "shingle", F.col("n").alias("shingles"))
-    right = numbered(texts).mapInArrow(cut(False), spec).select(F.col("row").alias("doc_row"), F.col("key").alias("doc_id"), "shingle")
-    hits = right.join(left, "shingle").groupBy("doc_row", "doc_id", "item_row", "item_id", "shingles").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.where(F.col("hits") >= threshold * F.col("shingles") - 1e-9).select("doc_id", "item_id", (F.col("hits") / F.col("shingles")).alias("containment"), "shingles").to(_struct(schema))
-
-
-def _struct(schema: str):
-    from pyspark.sql import types as T
-
-    return T._parse_datatype_string(schema)
+    left = items.select(F.monotonically_increasing_id().alias("row"), "item_id", "text").mapInArrow(cut(()), spec).select(F.col("row").alias("item_row"), F.col("key").alias("item_id"), "shingle", F.col("n").alias("shingles"))
+    right = texts.select("row", "doc_id", "text").mapInArrow(cut(tuple(range(1, SHINGLE + 1))), spec).select("row", F.col("key").alias("doc_id"), "shingle")
+    hits = right.join(left, "shingle").groupBy("row", "doc_id", "item_row", "item_id", "shingles").agg(F.count(F.lit(1)).alias("hits"))
+    return hits.where(F.col("hits") >= threshold * F.col("shingles") - 1e-9).select("row", "doc_id", "item_id", (F.col("hits") / F.col("shingles")).alias("containment"), "shingles")
