@@ -114,11 +114,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_scores(counts: Counts, hashes: list[np.ndarray]) -> np.ndarray:
     """Score of each token: log-odds of the word's toxic part against the overall part, less the drift."""
     whole, *prefixes = _buckets(hashes)
-    part: np.ndarray | float = counts.part
+    p: np.ndarray | float = counts.part
+    q: np.ndarray | float = 1 - counts.part
     for b in [*prefixes, whole]:
-        t = counts.toxic[b]
-        part = (t + ALPHA * part) / (t + counts.clean[b] + ALPHA)
-    return np.log(part / (1 - part)) - (math.log(counts.part / (1 - counts.part)) + DRIFT)
+        # both parts are kept: 1 - p would round to nothing for words seen in toxic documents only
+        t, c = counts.toxic[b] + ALPHA * p, counts.clean[b] + ALPHA * q
+        p, q = t / (t + c), c / (t + c)
+    return np.log(p / q) - (math.log(counts.part / (1 - counts.part)) + DRIFT)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -223,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     if not t or not c:
         n = labelled.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
         return n["t"] / n["n"] if n["n"] else 0.0
-    counts = Counts(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), t / (t + c))
+    counts = Counts(np.zeros(1 << BITS), np.zeros(1 << BITS), t / (t + c))
     counts.toxic[bucket[~total]] = toxic[~total]
     counts.clean[bucket[~total]] = clean[~total]
     shared = spark.sparkContext.broadcast((counts.toxic, counts.clean, counts.part))
