@@ -14,7 +14,7 @@ Defined cases: a null source counts among the others; a null text is kept; a
 null doc_id is replaced in the hash by the text's hash; rows that repeat the
 same doc_id get the same number of copies each; a named source without
 documents leaves its share unused; an empty table gives an empty result;
-further columns are carried along.
+further columns are carried along, but for ``copy`` and ``order_key``, which are replaced.
 """
 
 from __future__ import annotations
@@ -65,11 +65,20 @@ def copies(u: Column, rate_of: dict[str | None, float]) -> Column:
     return out
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def mix(docs: DataFrame, shares: dict[str, float], size: float | None = None, seed: str = "mix") -> DataFrame:
     """The columns of ``docs`` with ``copy`` (1, 2, ...) and ``order_key``, globally sorted by the latter."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     rate_of = rates(docs, shares, size)
-    counted = docs.withColumn("copies", copies(uniform(seed, key), rate_of)).where(F.col("copies") > 0)
-    copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+    number = _free(docs, "__number")
+    counted = docs.withColumn(number, copies(uniform(seed, key), rate_of)).where(F.col(number) > 0)
+    copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(number)))).drop(number)
     keyed = copied.withColumn("order_key", F.md5(F.concat(F.lit(seed + ":order:"), key, F.lit(":"), F.col("copy").cast("string"))))
     return keyed.orderBy("order_key")

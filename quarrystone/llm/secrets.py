@@ -71,7 +71,7 @@ def _parts(t: Column) -> Column:
 
 
 def find(docs: DataFrame, carry: list[str], text: str = "text", reach: int = REACH) -> DataFrame:
-    """``carry`` and ``spans``: array of structs (start, kind, end, covered), by start, then kind; covered is how far earlier spans reach."""
+    """doc (a struct of the columns ``carry``) and ``spans``: array of structs (start, kind, end, covered), by start, then kind; covered is how far earlier spans reach."""
     t = text_or_empty(F.col(text))
     none = "struct<kind:int,n:int,gap:int,size:int,ok:boolean>"
     parts = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in carry]).alias("doc"), _parts(t).alias("parts"), t.alias("t"))
@@ -102,8 +102,7 @@ def find(docs: DataFrame, carry: list[str], text: str = "text", reach: int = REA
     rows = rows.where(F.col("kind").isNull() | F.col("keep"))
     rows = rows.withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0)))
     span = F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end", "covered"))
-    whole = rows.groupBy("row").agg(F.max("doc").alias("doc"), F.array_sort(F.collect_list(span)).alias("spans"))
-    return whole.select("doc.*", "spans")
+    return rows.groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), F.array_sort(F.collect_list(span)).alias("spans")).drop("row")
 
 
 def spans_text(spans: Column) -> Column:
@@ -118,7 +117,7 @@ def report(docs: DataFrame) -> DataFrame:
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(k))).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < BASE)
     return found.select(
-        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        "doc.doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
         F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["kind"] >= BASE)).cast("long").alias("n_linked"),
     )
 
@@ -131,12 +130,12 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     t = text_or_empty(F.col("text"))
     any_part = t.rlike(ASSIGN) | t.rlike(ACCESS) | t.rlike(HEX) | t.rlike(IDENT) | t.rlike(KEY) | t.rlike(ENDPOINT)
     found = find(docs.where(any_part), docs.columns)
-    piece = lambda s: F.concat(F.substring(F.col("text"), s["covered"].cast("int") + 1, F.greatest(s["start"] - s["covered"], F.lit(0)).cast("int")), F.when(s["start"] >= s["covered"], F.lit(mark)).otherwise(F.lit("")))
+    text = F.col("doc.text")
+    piece = lambda s: F.concat(F.substring(text, s["covered"].cast("int") + 1, F.greatest(s["start"] - s["covered"], F.lit(0)).cast("int")), F.when(s["start"] >= s["covered"], F.lit(mark)).otherwise(F.lit("")))
     reached = F.array_max(F.transform("spans", lambda s: s["end"])).cast("int")
-    clean = F.concat(F.array_join(F.transform("spans", piece), ""), F.substring(F.col("text"), reached + 1, F.char_length("text")))
-    new = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
-    done = found.withColumn("__new", new)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    done = done.withColumn("text", F.col("__new")).select(*docs.columns)
-    return docs.where(~any_part).unionByName(done)
+    clean = F.concat(F.array_join(F.transform("spans", piece), ""), F.substring(text, reached + 1, F.char_length(text)))
+    done = found.withColumn("new", F.when(F.size("spans") > 0, clean).otherwise(text))
+    values = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {"text": F.col("new")}
+    if "n_chars" in values:
+        values["n_chars"] = F.when(F.size("spans") > 0, F.char_length("new").cast(docs.schema["n_chars"].dataType)).otherwise(values["n_chars"])
+    return docs.where(~any_part).unionByName(done.select(*[v.alias(c) for c, v in values.items()]))

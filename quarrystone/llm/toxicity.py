@@ -24,7 +24,7 @@ read, 1 to 3 give the counts, 4 the calibration. Labels are a sample of at most
 about ``MAX_LABELS`` documents (all, while there are no more), so that they may be broadcast.
 
 Defined cases: null or empty texts have no token and the least evidence; if the
-labels hold one class only or none, every score is the part of toxic labels;
+labels that are counted, or those of the calibration fold, hold one class only or none, every score is the part of toxic labels;
 conflicting labels of one id count as toxic; null labels are ignored; a null id is hashed as
 an empty text; repeated rows are scored alike; an empty table gives an empty result.
 """
@@ -239,12 +239,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     seen = checkpointed(labelled.where(fold(F.col("label_id")) == 4).select("text", "toxic").mapInArrow(segment_scores, "toxic int, n long, segments array<double>"))
     chance = seen.where("toxic = 0").select(F.explode("segments").alias("s"))
     u = chance.agg(F.percentile_approx("s", 0.9, 10000).alias("u")).first()["u"]
-    if u is None:
-        return t / (t + c)
-    over = chance.where(F.col("s") > u).agg(F.count(F.lit(1)).alias("k"), F.avg(F.col("s") - u).alias("mean")).first()
-    tokens = seen.where("toxic = 0").agg(F.sum("n").alias("n")).first()["n"]
-    lam = 1 / max(over["mean"] or 1.0, 1e-3)
-    ln_k = lam * u + math.log(max(over["k"], 1) / max(tokens, 1))
+    tokens = seen.where("toxic = 0").agg(F.sum("n").alias("n")).first()["n"] or 1
+    if u is None:  # clean text has no segment at all: log-odds have rate 1 by their nature, and one chance segment is granted
+        lam, ln_k = 1.0, -math.log(tokens)
+    else:
+        over = chance.where(F.col("s") > u).agg(F.count(F.lit(1)).alias("k"), F.avg(F.col("s") - u).alias("mean")).first()
+        lam = 1 / max(over["mean"] or 1.0, 1e-3)
+        ln_k = lam * u + math.log(max(over["k"], 1) / tokens)
 
     def evidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
