@@ -191,7 +191,7 @@ def with_work(df: DataFrame, days: DataFrame, calendar: str, at: str, out: str)
     """Adds ``out``: working seconds before the instant ``at`` on the row's calendar (null for a null instant)."""
     d = days.select(F.col("file").alias("__w_file"), F.col("clndr_id").alias("__w_cal"), F.col("day").alias("__w_day"), F.col("periods").alias("__w_periods"), F.col("cum").alias("__w_cum"))
     keyed = df.withColumn("__w_tod", seconds_of_day(F.col(at)))
-    joined = keyed.join(d, (keyed["file"] == d["__w_file"]) & (keyed[calendar] == d["__w_cal"]) & (keyed[at].cast("date") == d["__w_day"]), "left")
+    joined = keyed.join(d, (F.col("file") == F.col("__w_file")) & (F.col(calendar) == F.col("__w_cal")) & (F.col(at).cast("date") == F.col("__w_day")), "left")
     part = F.aggregate("__w_periods", F.lit(0.0), lambda a, p: a + F.greatest(F.lit(0.0), F.least(p["e"].cast("double"), F.col("__w_tod")) - p["s"]))
     return joined.withColumn(out, F.col("__w_cum") + part).drop("__w_file", "__w_cal", "__w_day", "__w_periods", "__w_cum", "__w_tod")
 
@@ -227,7 +227,7 @@ def with_added_work(df: DataFrame, days: DataFrame, calendar: str, at: str, hour
     inside = F.when(forward, (F.col("__a_cum") < F.col("__a_target")) & (F.col("__a_target") <= F.col("__a_cum") + F.col("__a_sec"))).otherwise(
         (F.col("__a_cum") <= F.col("__a_target")) & (F.col("__a_target") < F.col("__a_cum") + F.col("__a_sec"))
     )
-    found = keyed.join(d, (keyed["file"] == d["__a_file"]) & (keyed[calendar] == d["__a_cal"]) & (keyed["__a_bucket"] == d["__a_of"]) & (F.col(hours) != 0) & inside, "left")
+    found = keyed.join(d, (F.col("file") == F.col("__a_file")) & (F.col(calendar) == F.col("__a_cal")) & (F.col("__a_bucket") == F.col("__a_of")) & (F.col(hours) != 0) & inside, "left")
     moved = at_second(F.col("__a_day"), _instant_within(F.col("__a_periods"), F.col("__a_target") - F.col("__a_cum"), forward))
     return found.withColumn(out, F.coalesce(moved, F.col(at))).drop("__a_w", "__a_target", "__a_bucket", "__a_file", "__a_cal", "__a_day", "__a_periods", "__a_cum", "__a_sec", "__a_of")
 

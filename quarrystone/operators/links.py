@@ -210,7 +210,7 @@ def connectivity(notes: DataFrame, graph: DataFrame) -> DataFrame:
     """member, by_discipline, by_system, by_space: whether each equipment note is linked from a hub of each kind."""
     eq = notes.where(in_folder(F.col("path"), EQUIPMENT)).select("path", F.col("name").alias("member"))
     from_ = lambda f: F.coalesce(F.bool_or(in_folder(F.col("src"), f)), F.lit(False))
-    return eq.join(graph, eq["path"] == graph["dst"], "left").groupBy("member").agg(from_(DISCIPLINES).alias("by_discipline"), from_(SYSTEMS).alias("by_system"), from_(SPACES).alias("by_space"))
+    return eq.join(graph, F.col("path") == F.col("dst"), "left").groupBy("member").agg(from_(DISCIPLINES).alias("by_discipline"), from_(SYSTEMS).alias("by_system"), from_(SPACES).alias("by_space"))
 
 
 def backlinks(graph: DataFrame, path: str) -> DataFrame:

@@ -115,7 +115,9 @@ def path_nodes(s: Schedules, to: str | None = None, walk: str = "file", edges: D
     seeds = named_ends(s, to) if to else default_ends(s)
     if walk == "frontier":
         return reached(edges, seeds, ["file"]).select("file", "node")
-    return checkpointed(seeds.groupBy("file").cogroup(edges.select("file", "src", "dst").groupBy("file")).applyInPandas(_walk, "file string, node string"))
+    # both sides stem from the same tables: the keys are named anew, so that each is known for its own
+    left, right = seeds.select(F.col("file").alias("file"), "node"), edges.select(F.col("file").alias("of"), "src", "dst")
+    return checkpointed(left.groupBy("file").cogroup(right.groupBy("of")).applyInPandas(_walk, "file string, node string"))
 
 
 def with_reasons(s: Schedules, tasks: DataFrame) -> DataFrame:

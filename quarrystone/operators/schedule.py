@@ -179,7 +179,7 @@ def choose_projects(projects: DataFrame, tasks: DataFrame, wanted: str | None) -
 def _with_options(chosen: DataFrame, options: DataFrame) -> DataFrame:
     """The options of the project, else the file's first."""
     o = options.select(F.col("file").alias("__f"), F.col("proj_id").alias("__p"), "line_no", "lag_calendar", "retained", "override", "lag_early_start", "key_activity", "use_total_float")
-    joined = chosen.join(o, chosen["file"] == o["__f"], "left")
+    joined = chosen.join(o, F.col("file") == F.col("__f"), "left")
     order = Window.partitionBy("file").orderBy((F.col("__p") == F.col("proj_id")).desc_nulls_last(), "line_no")
     return joined.withColumn("__n", F.row_number().over(order)).where("__n = 1").withColumn("has_options", F.col("__f").isNotNull()).drop("__n", "__f", "__p", "line_no")
 
@@ -187,7 +187,7 @@ def _with_options(chosen: DataFrame, options: DataFrame) -> DataFrame:
 def _with_calendar(chosen: DataFrame, calendars: DataFrame) -> DataFrame:
     """cal_id and day_hr of the project: its own calendar, else the default, else the first, else round the clock."""
     c = calendars.select(F.col("file").alias("__f"), F.col("clndr_id").alias("cal_id"), F.col("name").alias("cal_name"), F.col("day_hr").alias("project_day_hr"), "default_flag", F.col("line_no").alias("__l"))
-    joined = chosen.join(c, chosen["file"] == c["__f"], "left")
+    joined = chosen.join(c, F.col("file") == F.col("__f"), "left")
     rank = F.when(F.col("cal_id") == F.col("clndr_id"), 0).when(F.col("default_flag") == "Y", 1).when(F.col("cal_id") != cal.ALWAYS, 2).otherwise(3)
     order = Window.partitionBy("file").orderBy(rank, "__l")
     return joined.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__f", "__l", "default_flag", "clndr_id")
@@ -235,7 +235,7 @@ def wbs_paths(wbs: DataFrame) -> DataFrame:
     now = real.select("file", "wbs_id", F.array(F.struct("wbs_id", "short_name", "name")).alias("piece"), F.col("parent").alias("top"))
     for _ in range(24):  # 2^24 levels
         up = now.select(F.col("file").alias("__f"), F.col("wbs_id").alias("__w"), F.col("piece").alias("__piece"), F.col("top").alias("__top"))
-        joined = now.join(up, (now["file"] == up["__f"]) & (now["top"] == up["__w"]), "left")
+        joined = now.join(up, (F.col("file") == F.col("__f")) & (F.col("top") == F.col("__w")), "left")
         # of a loop the piece already holds some of the ids above: stop before the first repeat
         ids = F.transform("piece", lambda x: x["wbs_id"])
         fresh = ~F.arrays_overlap(ids, F.transform("__piece", lambda x: x["wbs_id"]))

@@ -24,13 +24,14 @@ class ScheduleError(ValueError):
     """What was asked for is not in the export, or the file isn't one."""
 
 
+#: the bytes that windows-1252 and latin-1 read differently, and what the former makes of them
+HIGH = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+
+
 def decoded(content: Column) -> Column:
     latin = F.decode(content, "ISO-8859-1")
-    return (
-        F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8"))
-        .when(latin.rlike("[\u0081\u008d\u008f\u0090\u009d]"), latin)
-        .otherwise(F.decode(content, "windows-1252"))
-    )
+    windows = F.translate(latin, "".join(map(chr, HIGH)), bytes(HIGH).decode("cp1252"))
+    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).when(latin.rlike("[\u0081\u008d\u008f\u0090\u009d]"), latin).otherwise(windows)
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
