@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.plans.expression import FILE_FIELDS, NULL, ExpressionError, Node, Scope, Value, as_number, col, compile_expression, empty, link, names_in, parse, string, truth, typed
+from quarrystone.plans.expression import FILE_FIELDS, NULL, ExpressionError, Node, Scope, Value, as_number, col, compile_expression, empty, filter_of, link, names_in, parse, string, truth, typed
 
 SUMMARIES = ["Average", "Min", "Max", "Sum", "Range", "Median", "Stddev", "Earliest", "Latest", "Checked", "Unchecked", "Empty", "Filled", "Unique"]
 
@@ -32,18 +32,22 @@ def scope_of(df: DataFrame, formulas: dict[str, str] | None = None, now: Column
     return Scope({c: value(c) for c in types if c not in held.values()}, {f: value(c) for f, c in held.items()}, formulas or {}, own, now)
 
 
-def condition(spec, scope: Scope) -> Column:
-    """A filter: a string, or one of and, or, not with a list (or one filter); under ``not`` none of the list may hold."""
+def condition(spec, scope: Scope, exact: bool = False) -> Column:
+    """A filter: a string, or one of and, or, not with a list (or one filter); under ``not`` none of the list may hold.
+
+    The column may be null where the filter does not hold, unless ``exact``.
+    """
     if spec is None:
         return F.lit(True)
     if isinstance(spec, str):
-        return truth(compile_expression(spec, scope))
+        value = compile_expression(spec, scope)
+        return truth(value) if exact else filter_of(value)
     if isinstance(spec, bool):
         return F.lit(spec)
     if not isinstance(spec, dict) or len(spec) != 1 or next(iter(spec)) not in ("and", "or", "not"):
         raise ExpressionError(f"a filter is a string or has exactly one of and, or, not: {spec!r}")
     (kind, parts), out = next(iter(spec.items())), None
-    for c in (condition(p, scope) for p in (parts if isinstance(parts, list) else [parts])):
+    for c in (condition(p, scope, exact or kind == "not") for p in (parts if isinstance(parts, list) else [parts])):
         out = c if out is None else (out & c if kind == "and" else out | c)
     out = F.lit(kind != "or") if out is None else out
     return ~out if kind == "not" and parts else out

@@ -162,7 +162,10 @@ def names_in(node: Node) -> set[str]:
 
 @dataclass
 class Value:
-    """A column and its type; ``inner`` is a list's element type, ``literal`` a constant's Python value, ``months`` a duration's calendar part."""
+    """A column and its type; ``inner`` is a list's element type, ``literal`` a constant's Python value, ``months`` a duration's calendar part.
+
+    ``raw`` is a test that may be null where the column is false: as a filter it means the same, and scans understand it.
+    """
 
     col: Column | None
     type: str
@@ -170,6 +173,7 @@ class Value:
     literal: object = None
     months: Column | None = None
     fields: dict | None = None
+    raw: Column | None = None
 
 
 @dataclass
@@ -230,9 +234,16 @@ def col(v: Value) -> Column:
     return null_col() if v.col is None else v.col
 
 
+def filter_of(v: Value) -> Column:
+    """``truth`` for a place where null and false are the same."""
+    return v.raw if v.raw is not None else v.col if v.type == "boolean" else truth(v)
+
+
 def truth(v: Value) -> Column:
     if v.type == "null":
         return F.lit(False)
+    if v.raw is not None:  # then the column is never null
+        return v.col
     c = v.col
     test = {
         "boolean": lambda: c, "number": lambda: c != 0, "string": lambda: c != "", "list": lambda: F.size(c) > 0, "object": lambda: F.size(c) > 0, "duration": lambda: c != 0,
@@ -372,9 +383,9 @@ def _unary(n: Node, s: Scope) -> Value:
 def _binary(n: Node, s: Scope) -> Value:
     op, (a, b) = n.value, (evaluate(x, s) for x in n.args)
     if op == "&&":
-        return Value(truth(a) & truth(b), "boolean")
+        return Value(truth(a) & truth(b), "boolean", raw=filter_of(a) & filter_of(b))
     if op == "||":
-        return Value(truth(a) | truth(b), "boolean")
+        return Value(truth(a) | truth(b), "boolean", raw=filter_of(a) | filter_of(b))
     if op in ("==", "!="):
         x, y = _comparable(a, b)
         same = x.eqNullSafe(y)
@@ -382,7 +393,7 @@ def _binary(n: Node, s: Scope) -> Value:
     if op in ("<", ">", "<=", ">="):
         x, y = _comparable(a, b)
         test = {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
-        return Value(F.coalesce(test, F.lit(False)), "boolean")
+        return Value(F.coalesce(test, F.lit(False)), "boolean", raw=test)
     if op in ("+", "-") and "date" in (a.type, b.type):
         return _date_sum(a, b, op)
     if op in ("+", "-") and a.type == b.type == "duration":
@@ -729,7 +740,8 @@ def _file_method(v: Value, name: str, a: list[Value]) -> Value | None:
         want = [F.lower(F.regexp_replace(as_text(x), "^#", "")) for x in a]
         # a tag holds those nested in it
         hit = lambda t, w: (F.lower(t) == w) | F.startswith(F.lower(t), F.concat(w, F.lit("/")))
-        return _all([F.exists(tags.col, lambda t, w=w: hit(t, w)) for w in want], any_=True)
+        has = lambda w: F.exists(tags.col, lambda t: hit(t, w))
+        return _all([has(w) for w in want], any_=True)
     if name == "hasProperty":
         props = _row(v, "properties")
         return Value(F.lit(False), "boolean") if props.type == "null" else Value(F.coalesce(F.map_contains_key(props.col, as_text(a[0])), F.lit(False)), "boolean")
