@@ -18,38 +18,38 @@ PLACED = ["x", "y", "width", "height"]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """file, json of each canvas below ``path``."""
+    """canvas (its path), json of each canvas below ``path``."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.canvas").load(path)
-    return raw.select(F.col("path").alias("file"), F.col("content").cast("string").alias("json"))
+    return raw.select(F.col("path").alias("canvas"), F.col("content").cast("string").alias("json"))
 
 
 def _parsed(canvases: DataFrame) -> DataFrame:
     strict = F.from_json("json", SCHEMA, {"mode": "PERMISSIVE"})
-    return canvases.select("file", "json", strict.alias("c"), F.try_parse_json("json").alias("v"))
+    return canvases.select("canvas", "json", strict.alias("c"), F.try_parse_json("json").alias("v"))
 
 
 def nodes(canvases: DataFrame) -> DataFrame:
-    """file, z (0 is the bottom layer) and the node's columns."""
-    return _parsed(canvases).select("file", F.posexplode("c.nodes").alias("z", "n")).select("file", "z", "n.*")
+    """canvas, z (0 is the bottom layer) and the node's columns."""
+    return _parsed(canvases).select("canvas", F.posexplode("c.nodes").alias("z", "n")).select("canvas", "z", "n.*")
 
 
 def edges(canvases: DataFrame) -> DataFrame:
-    """file, n (place) and the edge's columns; ends default to none and arrow."""
-    rows = _parsed(canvases).select("file", F.posexplode("c.edges").alias("n", "e")).select("file", "n", "e.*")
+    """canvas, n (place) and the edge's columns; ends default to none and arrow."""
+    rows = _parsed(canvases).select("canvas", F.posexplode("c.edges").alias("n", "e")).select("canvas", "n", "e.*")
     return rows.withColumn("fromEnd", F.coalesce("fromEnd", F.lit("none"))).withColumn("toEnd", F.coalesce("toEnd", F.lit("arrow")))
 
 
 def violations(canvases: DataFrame) -> DataFrame:
-    """file, rule (1 to 8), id, what: everything that breaks a rule; valid canvases have no row."""
+    """canvas, rule (1 to 8), id, what: everything that breaks a rule; valid canvases have no row."""
     n, e = nodes(canvases), edges(canvases)
 
     def found(df: DataFrame, rule: int, when: Column, what: Column | str) -> DataFrame:
-        return df.where(F.coalesce(when, F.lit(False))).select("file", F.lit(rule).alias("rule"), "id", (F.lit(what) if isinstance(what, str) else what).alias("what"))
+        return df.where(F.coalesce(when, F.lit(False))).select("canvas", F.lit(rule).alias("rule"), "id", (F.lit(what) if isinstance(what, str) else what).alias("what"))
 
-    ids = n.select("file", "id").unionAll(e.select("file", "id"))
-    twice = ids.where(F.col("id").isNotNull()).groupBy("file", "id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    ends = e.select("file", "id", F.explode(F.array(F.struct(F.lit("fromNode").alias("end"), F.col("fromNode").alias("node")), F.struct(F.lit("toNode").alias("end"), F.col("toNode").alias("node")))).alias("x")).select("file", "id", "x.*")
-    dangling = ends.join(n.select("file", F.col("id").alias("node")).where(F.col("node").isNotNull()).distinct(), ["file", "node"], "left_anti")
+    ids = n.select("canvas", "id").unionAll(e.select("canvas", "id"))
+    twice = ids.where(F.col("id").isNotNull()).groupBy("canvas", "id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    ends = e.select("canvas", "id", F.explode(F.array(F.struct(F.lit("fromNode").alias("end"), F.col("fromNode").alias("node")), F.struct(F.lit("toNode").alias("end"), F.col("toNode").alias("node")))).alias("x")).select("canvas", "id", "x.*")
+    dangling = ends.join(n.select("canvas", F.col("id").alias("node")).where(F.col("node").isNotNull()).distinct(), ["canvas", "node"], "left_anti")
     lacks = F.lit(None).cast("string")
     for kind, field in REQUIRED.items():
         lacks = F.when((F.col("type") == kind) & F.col(field).isNull(), F.lit(field)).otherwise(lacks)
@@ -59,7 +59,7 @@ def violations(canvases: DataFrame) -> DataFrame:
     color = lambda df: found(df, 7, F.col("color").isNotNull() & ~F.col("color").rlike(COLOR), F.concat(F.lit("color "), "color"))
     sides = [found(e, 5, wrong(c, SIDES), F.concat(F.lit(f"{c} "), c)) for c in ("fromSide", "toSide")]
     tips = [found(e, 6, wrong(c, ENDS), F.concat(F.lit(f"{c} "), c)) for c in ("fromEnd", "toEnd")]
-    bad_json = _parsed(canvases).where(F.col("v").isNull()).select("file", F.lit(8).alias("rule"), F.lit(None).cast("string").alias("id"), F.lit("not valid JSON").alias("what"))
+    bad_json = _parsed(canvases).where(F.col("v").isNull()).select("canvas", F.lit(8).alias("rule"), F.lit(None).cast("string").alias("id"), F.lit("not valid JSON").alias("what"))
     parts = [
         found(twice, 1, F.lit(True), "id is used more than once"), found(dangling, 2, F.lit(True), F.concat("end", F.lit(" names no node"))), found(n, 3, lacks.isNotNull(), F.concat(lacks, F.lit(" is missing"))),
         found(n, 4, wrong("type", TYPES), F.concat(F.lit("type "), "type")), *sides, *tips, color(n), color(e), bad_json,
@@ -71,13 +71,13 @@ def violations(canvases: DataFrame) -> DataFrame:
 
 
 def contained(canvases: DataFrame) -> DataFrame:
-    """file, grp, id: nodes that lie within a group's bounds (a join on the file with a range condition)."""
+    """canvas, grp, id: nodes that lie within a group's bounds (a join on the canvas with a range condition)."""
     n = nodes(canvases)
-    g = n.where(F.col("type") == "group").select("file", F.col("id").alias("grp"), *[F.col(c).alias(f"g_{c}") for c in PLACED])
+    g = n.where(F.col("type") == "group").select("canvas", F.col("id").alias("grp"), *[F.col(c).alias(f"g_{c}") for c in PLACED])
     inside = (F.col("x") >= F.col("g_x")) & (F.col("y") >= F.col("g_y")) & (F.col("x") + F.col("width") <= F.col("g_x") + F.col("g_width")) & (F.col("y") + F.col("height") <= F.col("g_y") + F.col("g_height"))
-    return n.join(g, "file").where((F.col("id") != F.col("grp")) & inside).select("file", "grp", "id")
+    return n.join(g, "canvas").where((F.col("id") != F.col("grp")) & inside).select("canvas", "grp", "id")
 
 
 def reachable(canvases: DataFrame, starts: DataFrame) -> DataFrame:
-    """file, node, hops: what the start nodes (file, node) lead to along the edges; cycles end."""
-    return reached(edges(canvases).select("file", F.col("fromNode").alias("src"), F.col("toNode").alias("dst")), starts, ["file"])
+    """canvas, node, hops: what the start nodes (canvas, node) lead to along the edges; cycles end."""
+    return reached(edges(canvases).select("canvas", F.col("fromNode").alias("src"), F.col("toNode").alias("dst")), starts, ["canvas"])
