@@ -199,11 +199,12 @@ def daily_load(s: Schedules) -> DataFrame:
     rows = rows.withColumn("s", F.coalesce("restart", "early_start", "task_restart")).withColumn("f", F.coalesce("reend", "early_end", "task_reend")).where(F.col("f") > F.col("s"))
     rows = cal.with_hours_between(rows.select("file", "rsrc_id", "cal_id", "remain_qty", "s", "f", F.monotonically_increasing_id().alias("id")), s.days, "cal_id", "s", "f", "total").where(F.col("total") > 0)
     each = rows.withColumn("day", F.explode(F.sequence(F.col("s").cast("date"), F.col("f").cast("date"))))
-    d = s.days.where("day_sec > 0").select("file", F.col("clndr_id").alias("cal_id"), "day", "periods")
+    d = s.days.where("day_sec > 0").select("file", F.col("clndr_id").alias("cal_id"), "day", "periods", "day_sec")
     each = each.join(d, ["file", "cal_id", "day"])
     lo, hi = (F.timestamp_diff("SECOND", F.col("day").cast("timestamp_ntz"), F.col(c)).cast("double") for c in ("s", "f"))
-    hours = F.aggregate("periods", F.lit(0.0), lambda a, p: a + F.greatest(F.lit(0.0), F.least(p["e"].cast("double"), hi) - F.greatest(p["s"].cast("double"), lo))) / 3600.0
-    each = each.withColumn("h", hours).where(F.col("h") > 0)
+    part = F.aggregate("periods", F.lit(0.0), lambda a, p: a + F.greatest(F.lit(0.0), F.least(p["e"].cast("double"), hi) - F.greatest(p["s"].cast("double"), lo)))
+    # nearly all days lie wholly within their assignment: only the others need their periods
+    each = each.withColumn("h", F.when((lo <= 0) & (hi >= 86400), F.col("day_sec").cast("double")).otherwise(part) / 3600.0).where(F.col("h") > 0)
     return each.groupBy("file", "rsrc_id", "day").agg(F.sum(F.col("remain_qty") * F.col("h") / F.col("total")).alias("qty"))
 
 

@@ -33,6 +33,8 @@ CONSTRAINT = {
     "CS_MEO": "Finish On", "CS_MEOA": "Finish On or After", "CS_MEOB": "Finish On or Before",
     "CS_ALAP": "As Late As Possible", "CS_MANDSTART": "Mandatory Start", "CS_MANDFIN": "Mandatory Finish",
 }
+#: rows of the day dimension that every worker may hold
+BROADCAST_DAYS = 200_000
 HARD = ["CS_MSO", "CS_MEO", "CS_MSOB", "CS_MEOB", "CS_MANDSTART", "CS_MANDFIN"]
 MILESTONES = ["TT_Mile", "TT_FinMile"]
 SUMMARIES = ["TT_LOE", "TT_WBS"]
@@ -111,7 +113,7 @@ class Schedules:
         """From typed tables; ``calendars`` as ``calendar.calendars`` gives them."""
         # the model is read many times by each operator: it is made once, and lost executors cost nothing before it
         calendars = checkpointed(calendars.unionByName(cal.always(projects)))
-        tasks = newest(tasks, "file", "task_id")
+        tasks = checkpointed(newest(tasks, "file", "task_id"))
         wbs = newest(wbs, "file", "wbs_id")
         rsrc = newest(rsrc, "file", "rsrc_id")
         chosen = checkpointed(_with_calendar(_with_options(choose_projects(projects, tasks, project), options), calendars))
@@ -152,7 +154,9 @@ class Schedules:
     def days(self) -> DataFrame:
         """The day dimension of all calendars over ``span``."""
         if self._days is None:
-            self._days = checkpointed(cal.calendar_days(self.calendars, *self.span))
+            days = checkpointed(cal.calendar_days(self.calendars, *self.span))
+            # a day is some 150 bytes; with more calendars than that the joins shuffle both sides
+            self._days = F.broadcast(days) if days.count() <= BROADCAST_DAYS else days
         return self._days
 
 
