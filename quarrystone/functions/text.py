@@ -35,9 +35,11 @@ SWEEPS = {
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased ASCII words and dotted ids, in order; a dotted id is followed by its parts."""
+    """Lower-cased ASCII words and dotted ids, then the parts of the dotted ones: a multiset, its order says nothing."""
     whole = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return F.flatten(F.transform(whole, lambda t: F.when(F.contains(t, F.lit(".")), F.concat(F.array(t), F.split(t, r"\."))).otherwise(F.array(t))))
+    parts = lambda w: F.flatten(F.transform(F.filter(w, lambda t: F.contains(t, F.lit("."))), lambda t: F.split(t, r"\.")))
+    # the matches are bound once: a text is searched once for both
+    return F.flatten(F.transform(F.array(whole), lambda w: F.concat(w, parts(w))))
 
 
 def query_tokens(text: str) -> list[str]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions.values import labelled, tenths
 from quarrystone.operators import calendar as cal
 from quarrystone.operators import path
+from quarrystone.session import checkpointed
 from quarrystone.operators.schedule import MILESTONES, RELATION, STATUS, TASK_TYPE, ScheduleError, Schedules, wbs_paths
 
 STATUS_GROUPS = {"not_started": ["TK_NotStart"], "active": ["TK_Active"], "complete": ["TK_Complete"], "incomplete": ["TK_NotStart", "TK_Active"]}
@@ -193,19 +194,31 @@ def _of_mine(s: Schedules) -> DataFrame:
 
 
 def daily_load(s: Schedules) -> DataFrame:
-    """file, rsrc_id, day, qty: remaining quantity spread over the remaining working time of each assignment."""
+    """file, rsrc_id, day, qty: remaining quantity spread over the remaining working time of each assignment.
+
+    An assignment is not multiplied by its days. Its first and last day are worked out from their
+    periods; for the days between it adds its rate to a running sum of its resource and calendar where they begin, and takes it
+    off where they end. What is summed up are days, at most as many as the schedules span, for each resource and calendar.
+    """
     rows = _of_mine(s).where(~F.col("complete") & (F.col("remain_qty") > 0))
     rows = rows.join(s.rsrc.select("file", "rsrc_id", F.col("type").alias("rsrc_type")), ["file", "rsrc_id"], "left").where(~F.coalesce(F.col("rsrc_type") == "RT_Mat", F.lit(False)))
     rows = rows.withColumn("s", F.coalesce("restart", "early_start", "task_restart")).withColumn("f", F.coalesce("reend", "early_end", "task_reend")).where(F.col("f") > F.col("s"))
-    rows = cal.with_hours_between(rows.select("file", "rsrc_id", "cal_id", "remain_qty", "s", "f", F.monotonically_increasing_id().alias("id")), s.days, "cal_id", "s", "f", "total").where(F.col("total") > 0)
-    each = rows.withColumn("day", F.explode(F.sequence(F.col("s").cast("date"), F.col("f").cast("date"))))
+    rows = cal.with_hours_between(rows.select("file", "rsrc_id", "cal_id", "remain_qty", "s", "f"), s.days, "cal_id", "s", "f", "total").where(F.col("total") > 0)
+    rows = checkpointed(rows.select("file", "rsrc_id", "cal_id", "s", "f", F.col("s").cast("date").alias("s_day"), F.col("f").cast("date").alias("f_day"), (F.col("remain_qty") / F.col("total")).alias("rate")))
     d = s.days.where("day_sec > 0").select("file", F.col("clndr_id").alias("cal_id"), "day", "periods", "day_sec")
-    each = each.join(d, ["file", "cal_id", "day"])
+    ends = rows.withColumn("day", F.explode(F.array_distinct(F.array("s_day", "f_day")))).join(d, ["file", "cal_id", "day"])
     lo, hi = (F.timestamp_diff("SECOND", F.col("day").cast("timestamp_ntz"), F.col(c)).cast("double") for c in ("s", "f"))
     part = F.aggregate("periods", F.lit(0.0), lambda a, p: a + F.greatest(F.lit(0.0), F.least(p["e"].cast("double"), hi) - F.greatest(p["s"].cast("double"), lo)))
-    # nearly all days lie wholly within their assignment: only the others need their periods
-    each = each.withColumn("h", F.when((lo <= 0) & (hi >= 86400), F.col("day_sec").cast("double")).otherwise(part) / 3600.0).where(F.col("h") > 0)
-    return each.groupBy("file", "rsrc_id", "day").agg(F.sum(F.col("remain_qty") * F.col("h") / F.col("total")).alias("qty"))
+    ends = ends.select("file", "rsrc_id", "day", (F.col("rate") * part / 3600.0).alias("qty")).where(F.col("qty") > 0)
+    step = lambda day, sign: F.struct(day.alias("day"), (sign * F.col("rate")).alias("rate"), F.lit(sign).alias("n"))
+    between = rows.where(F.datediff("f_day", "s_day") > 1).select("file", "rsrc_id", "cal_id", F.explode(F.array(step(F.date_add("s_day", 1), 1), step(F.col("f_day"), -1))).alias("x")).select("file", "rsrc_id", "cal_id", "x.*")
+    steps = between.groupBy("file", "rsrc_id", "cal_id", "day").agg(F.sum("rate").alias("rate"), F.sum("n").alias("n"))
+    order = Window.partitionBy("file", "rsrc_id", "cal_id").orderBy("day")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steady = steps.select("file", "rsrc_id", "cal_id", "day", F.lead("day").over(order).alias("until"), F.sum("rate").over(so_far).alias("rate"), F.sum("n").over(so_far).alias("n")).where("n > 0 and until is not null")
+    inner = steady.withColumn("day", F.explode(F.sequence("day", F.date_sub("until", 1)))).join(d, ["file", "cal_id", "day"])
+    inner = inner.select("file", "rsrc_id", "day", (F.col("rate") * F.col("day_sec") / 3600.0).alias("qty"))
+    return ends.unionByName(inner).groupBy("file", "rsrc_id", "day").agg(F.sum("qty").alias("qty"))
 
 
 def overallocation(s: Schedules) -> DataFrame:

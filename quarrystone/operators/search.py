@@ -76,6 +76,9 @@ def search(
     asked = query_tokens(query)
     terms = sorted(set(asked))
     rows = _counts(chunks, text, headings, boost, w)
+    # of each chunk only the tokens that are asked for are kept: one pass over them, however many terms
+    only = lambda c: F.filter(c, lambda x: x.isin(terms)) if terms else F.array().cast("array<string>")
+    rows = rows.withColumns({"__body": only("__body"), "__boost": only("__boost")})
     tf = lambda t: F.size(F.filter("__body", lambda x: x == t)) + w * F.size(F.filter("__boost", lambda x: x == t))
     holds = lambda t: F.array_contains("__body", t) | F.array_contains("__boost", t)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("__dl"), F.lit(0)).alias("total"), *[F.count_if(holds(t)).alias(f"df{i}") for i, t in enumerate(terms)]).first()
