@@ -35,7 +35,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 IDENT = r"""(?:[Cc]lient_?[Ii]d|[Uu]ser(?:_?name)?|[Ll]ogin|[Aa]ccount)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
-KEY = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
+#: a key may follow its name and '=' directly, as in env files; behind it '=' would be base64 padding
+KEY = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"""https?://[^\x00-\x20"'<>]+|(?:[Hh]ost|[Ee]ndpoint|[Ss]erver)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"""
 BREAK = r"\n[\x20\t\r]*\n"
 
