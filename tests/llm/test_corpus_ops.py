@@ -366,6 +366,61 @@ def test_stages_decide_as_brute_force_does(spark):
     assert secrets.report(redacted).selectExpr("sum(n_assign + n_access + n_hex)").first()[0] == 0
 
 
+def brute_least_rows(rows):
+    """Rows (id, th, text) that are the least of their group by five-word Jaccard of 0.8."""
+    sets = []
+    for _, _, t in rows:
+        w = bytewords.text_words(t or "")
+        k = min(5, len(w))
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else t or "")
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or isinstance(a, set) and isinstance(b, set) and 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (key, th, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), (key, th)), (key, th))
+    return set(least.values())
+
+
+def test_the_pipeline_drops_what_is_alike_by_five_words(spark):
+    from quarrystone.llm import similar
+
+    rng = random.Random(21)
+    texts = [None, "", "...", "?!", "?!", "one", "One two", "one two", "a b c d e", "A b, c d e!"]
+    for n in (30, 60, 150, 400, 400):
+        base = prose(rng, n, 5000).split()
+        texts.append(" ".join(base))
+        for changes in (1, 1, 2, 3, 5, 8):
+            copy = list(base)
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = f"changed{rng.randrange(999)}"
+            texts.append(" ".join(copy))
+    stem = prose(rng, 300, 5000)
+    texts += [f"{stem} {prose(rng, rng.randint(1, 60), 5000)}" for _ in range(40)]
+    rows = [(i, i * 7 % 101, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "id long, th long, text string").selectExpr("id", "xxhash64(coalesce(text, '')) as th", "text")
+    rows = [tuple(r) for r in frame.select("id", "th", "text").collect()]
+    want = brute_least_rows(rows)
+    for few, crowd in ((8, 2048), (2, 10)):
+        assert {tuple(r) for r in similar.least_rows(frame, few, crowd).collect()} == want
+    # rows of one id with different texts both stay, a true repeat goes
+    extra = [(7, "unlike all else " + prose(rng, 40)), (7, prose(rng, 40, 5000)), (8, "the same again here now"), (8, "the same again here now"), (None, texts[12])]
+    docs = docs_of(spark, [(100 + i, t) for i, t in enumerate(texts)] + extra)
+    out = dict(stages.STAGES)["near_duplicates"](spark, docs, SF)
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert out.columns == docs.columns
+    assert got == Counter([(100 + i, texts[i]) for i, _ in want] + extra[:3])
+
+
 def test_pipeline_runs_its_stages_in_order(spark):
     import corpus_pipeline
 
