@@ -155,9 +155,9 @@ ORACLES["op9_license_scan"] = _op9_sql()
 @query
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every URL: its rule's, or the language models'."""
-    from quarrystone.llm.url_filter import judge
+    from quarrystone.llm.url_filter import judge_deep
 
-    return judge(table(spark, sf_dir, "pages"))
+    return judge_deep(table(spark, sf_dir, "pages"))
 
 
 @query

@@ -174,3 +174,60 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     rows = rows.select("page_id", "host", "path", "rule", s.alias("score"))
     accepted = F.coalesce(F.col("rule.allow"), F.col("score") > threshold)
     return rows.select("page_id", "host", "path", F.col("rule.name").alias("rule"), F.when(accepted, "allow").otherwise("block").alias("verdict"), "score", F.lit(threshold).alias("threshold"))
+
+
+#: symbols before the one that is judged, for ``judge_deep``
+ORDER = 5
+#: the uniform distribution below the empty context is over all code points
+UNIFORM = 1 / 0x110000
+
+
+def deep_grams(host: Column, path: Column) -> Column:
+    """Per symbol, the ORDER symbols before it (NUL before the start) and itself; A-Z are lower-cased, all else stays apart."""
+    text = F.translate(F.concat(host, path), UPPER, LOWER)
+    padded = F.concat(F.lit("\0" * ORDER), text)
+    places = F.when(F.char_length(text) > 0, F.sequence(F.lit(1), F.char_length(text))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
+
+
+def deep_ratios(grams: DataFrame) -> DataFrame:
+    """``gram`` and the log ratio ``r`` of its last symbol, of distinct grams with their counts among accepted (a) and rejected (b) URLs."""
+    below = None
+    for k in range(ORDER + 1):
+        level = grams.groupBy(F.expr(f"right(gram, {k + 1})").alias("g")).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("c", F.expr(f"left(g, {k})"))
+        after = level.groupBy("c").agg(*[f(x).alias(f"{n}{x}") for x in "ab" for n, f in (("n", F.sum), ("t", lambda x: F.count(F.when(F.col(x) > 0, 1))))])
+        rows = level.join(after, "c")
+        if below is None:
+            rows = rows.withColumns({"pa": F.lit(UNIFORM), "pb": F.lit(UNIFORM), "both": (F.col("na") > 0) & (F.col("nb") > 0)})
+        else:
+            rows = rows.withColumn("s", F.expr(f"right(g, {k})")).join(below, "s")
+        mixed = lambda x: F.when(F.col(f"n{x}") > 0, (F.col(x) + F.col(f"t{x}") * F.col(f"p{x}")) / (F.col(f"n{x}") + F.col(f"t{x}"))).otherwise(F.col(f"p{x}"))
+        below = rows.select(F.col("g").alias("s"), mixed("a").alias("pa"), mixed("b").alias("pb"), "both")
+    return below.select(F.col("s").alias("gram"), F.when(F.col("both"), F.log("pa") - F.log("pb")).otherwise(F.lit(0.0)).alias("r"))
+
+
+def judge_deep(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """The columns of ``judge``, by models with contexts of up to five symbols and every symbol apart.
+
+    Counts grow with the input: they stay in a table of distinct grams, smoothed level by level by joins on the context
+    and on the shorter gram. Only the calibration histogram comes to the driver. Equal URLs are counted once with their number.
+    """
+    from quarrystone.llm.common import checkpointed
+
+    rules = RULES if rules is None else rules
+    host, path = host_and_path(F.col("url"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    urls = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    held = F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0
+    urls = checkpointed(urls.withColumn("held", held))
+    seen = lambda allow: F.when((F.col("rule.allow") == allow) & ~F.col("held"), F.col("n")).otherwise(F.lit(0))
+    each = urls.select("host", "path", seen(True).alias("a"), seen(False).alias("b"), F.explode(deep_grams(F.col("host"), F.col("path"))).alias("gram"))
+    ratios = checkpointed(deep_ratios(checkpointed(each.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))))
+    means = each.select("host", "path", "gram").join(ratios, "gram").groupBy("host", "path").agg(F.round(F.avg("r"), 9).alias("score"))
+    scored = checkpointed(urls.join(means, ["host", "path"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
+    place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + SPAN) / (2 * SPAN) * BINS)))
+    bins = scored.where(F.col("held") & F.col("rule").isNotNull()).select(F.col("rule.allow").alias("allow"), place.cast("int").alias("bin"), "n").groupBy("bin", "allow").agg(F.sum("n").alias("n")).collect()
+    threshold = best_threshold([(r["bin"], r["allow"], r["n"]) for r in bins])
+    accepted = F.coalesce(F.col("rule.allow"), F.col("score") > threshold)
+    out = rows.join(scored, ["host", "path"])
+    return out.select("page_id", "host", "path", F.col("rule.name").alias("rule"), F.when(accepted, "allow").otherwise("block").alias("verdict"), "score", F.lit(threshold).alias("threshold"))

@@ -257,6 +257,40 @@ def test_url_filter_without_labels_and_rows(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_query_tells_digits_apart_over_five_symbols(spark, tmp_path):
+    from quarrystone.llm.queries import QUERIES
+
+    urls = [f"http://example.org/en/{d}{i:02d}" for d in "17" for i in range(60)] + [f"http://Example.net/en/{d}{i}/é" for d in "17" for i in range(20)] + ["http://example.org/en/103", None, ""]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in QUERIES["op5_url_filter"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(urls)
+    held = {(r["host"], r["path"]): r["h"] for r in spark.createDataFrame([brute_split(u) for u in urls], "host string, path string").selectExpr("host", "path", "pmod(xxhash64(host, path), 5) = 0 as h").collect()}
+    split = [brute_split(u) for u in urls]
+
+    def model(verdict):
+        counts = defaultdict(Counter)
+        for x in split:
+            r = brute_rule(*x)
+            if r and r[1] == verdict and not held[x]:
+                s = "\0" * 5 + (x[0] + x[1]).lower()
+                for i in range(5, len(s)):
+                    for k in range(6):
+                        counts[s[i - k : i]][s[i]] += 1
+
+        def p(context, c):
+            below = p(context[1:], c) if context else 1 / 0x110000
+            seen = counts.get(context)
+            return (seen[c] + len(seen) * below) / (sum(seen.values()) + len(seen)) if seen else below
+
+        return lambda t: sum(math.log(p(("\0" * 5 + t)[i : i + 5], c)) for i, c in enumerate(t))
+
+    good, bad = model("allow"), model("block")
+    for i, (h, p) in enumerate(split):
+        t = (h + p).lower()
+        assert got[i]["score"] == pytest.approx((good(t) - bad(t)) / len(t) if t else 0.0, abs=1e-6), urls[i]
+    assert [got[i]["verdict"] for i in range(120, 160)] == ["block"] * 20 + ["allow"] * 20
+
+
 # ---------------------------------------------------------------- chat format
 
 
