@@ -8,16 +8,19 @@ say nothing. Each is an interval of the text; it is reported when a
 complementary part lies within ``reach`` code points of it in the same scope
 (scopes end at blank lines):
 
-* an identifier (``ident``) or an endpoint needs a secret: assign, hex or key;
-* a bare ``key`` needs an access identifier or an ``ident``.
+* a bare ``key`` needs an access identifier or an ``ident``;
+* an ``ident`` or an endpoint needs a secret: assign, hex or a key that is itself linked.
 
-Weak parts that overlap a base span are dropped. Intervals are joined by windows
-over the parts sorted by place: what matters is the nearest complementary part
-on either side, so the work is linear in the parts and no pairs are made.
+So what links a part is always reported with it. Weak parts that overlap a base span are
+dropped before anything is linked. Intervals are joined by windows over the parts sorted by
+place, once upwards and once downwards: what matters is the nearest complementary part
+on either side, and every frame is a running one, so after the sort the work is linear in the
+parts and no pairs are made.
 
 Positions count code points, ends exclusive. A pattern's matches come from
 ``regexp_extract_all`` and the gaps between them from ``split``; a running sum of
-both lengths gives the places. Only lengths are shuffled, never texts.
+both lengths gives the places. ``report`` shuffles only lengths, never texts; ``redact`` shuffles
+the rows whose texts hold a part of any kind, with their columns, and passes all others through.
 
 Defined cases: a null or empty text has no spans; a base match that is too
 short is dropped but has used up its characters; repeated rows and null ids each
@@ -87,20 +90,19 @@ def find(docs: DataFrame, carry: list[str], text: str = "text", reach: int = REA
     kind = lambda *names: F.col("kind").isin([KINDS.index(x) for x in names])
     order = Window.partitionBy("row").orderBy("start", "kind", "end")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("scope", F.coalesce(F.sum(kind("break").cast("int")).over(order), F.lit(0)))
-    near_order = Window.partitionBy("row", "scope").orderBy("start", "kind", "end")
-    near_before, near_after = near_order.rowsBetween(Window.unboundedPreceding, -1), near_order.rowsBetween(1, Window.unboundedFollowing)
-
-    def near(*names: str) -> Column:
-        last = F.max(F.when(kind(*names), F.col("end"))).over(near_before)
-        first = F.min(F.when(kind(*names), F.col("start"))).over(near_after)
-        return F.coalesce(F.col("start") - last <= reach, F.lit(False)) | F.coalesce(first - F.col("end") <= reach, F.lit(False))
-
+    rows = rows.withColumn("scope", F.coalesce(F.sum(kind("break").cast("int")).over(order), F.lit(0))).where(F.col("kind").isNull() | ~kind("break"))
+    # both frames run from the partition's edge to the row: a frame to its far end would be summed up anew for every row
+    up = Window.partitionBy("row", "scope").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("row", "scope").orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    reached = lambda *names: F.max(F.when(kind(*names), F.col("end"))).over(up)
+    following = lambda *names: F.min(F.when(kind(*names), F.col("start"))).over(down)
+    near = lambda *names: F.coalesce(F.col("start") - reached(*names) <= reach, F.lit(False)) | F.coalesce(following(*names) - F.col("end") <= reach, F.lit(False))
+    kept = lambda rows, test: rows.withColumn("keep", test).where(F.col("kind").isNull() | F.col("keep"))
     base = kind(*KINDS[:BASE])
-    over_base = F.coalesce(F.max(F.when(base, F.col("end"))).over(near_before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(base, F.col("start"))).over(near_after) < F.col("end"), F.lit(False))
-    linked = F.when(kind("key"), near("access", "ident")).otherwise(near("assign", "hex", "key"))
-    rows = rows.withColumn("keep", F.when(base, F.lit(True)).when(kind("break"), F.lit(False)).otherwise(linked & ~over_base))
-    rows = rows.where(F.col("kind").isNull() | F.col("keep"))
+    inside = F.coalesce(reached(*KINDS[:BASE]) > F.col("start"), F.lit(False)) | F.coalesce(following(*KINDS[:BASE]) < F.col("end"), F.lit(False))
+    rows = kept(rows, base | ~inside)
+    rows = kept(rows, ~kind("key") | near("access", "ident"))
+    rows = kept(rows, base | kind("key") | near("assign", "hex", "key"))
     rows = rows.withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0)))
     span = F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end", "covered"))
     return rows.groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), F.array_sort(F.collect_list(span)).alias("spans")).drop("row")
@@ -126,7 +128,7 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """The columns of ``docs``; in texts with spans each stretch of overlapping spans is replaced by ``mark`` and n_chars follows.
 
-    Texts without a part of any kind are passed through as they are, unshuffled.
+    Rows whose texts hold no part of any kind are passed through as they are, unshuffled.
     """
     t = text_or_empty(F.col("text"))
     any_part = t.rlike(ASSIGN) | t.rlike(ACCESS) | t.rlike(HEX) | t.rlike(IDENT) | t.rlike(KEY) | t.rlike(ENDPOINT)
