@@ -1,11 +1,15 @@
 """Mixing sources to target weights by Poisson replication (native).
 
-Each document of source s is repeated k times, where k is the Poisson quantile,
-with mean rate(s), of a uniform number hashed from the seed and the document.
-rate(s) = size * share(s) / documents of s, so the expected number of copies
+Each document of source s is repeated k times, where k is drawn from the Poisson
+distribution with mean rate(s), by inverting it at uniform numbers hashed from the seed and
+the document. rate(s) = size * share(s) / documents of s, so the expected number of copies
 from s is ``size * share(s)``. The copies are then ordered by a hash over the
 whole output: a global shuffle that any later run repeats.
 
+A rate above ``PART`` is cut into equal parts of at most that: k is the sum of one draw for each
+part, each at a hash of its own, which has the same distribution. So the plan holds a short table of quantiles
+for each named source, however rare the source is, and a document costs a draw for every ``PART`` copies that it gets.
+
 The sources named in ``shares`` have a share of their own; all others together
 have what is left, in proportion to their documents. So at most
 ``len(shares) + 1`` rates come to the driver, whatever the number of sources.
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: bits of the uniform number; exact in a double
 BITS = 52
+#: the largest rate that one draw stands for
+PART = 32.0
 
 
 def uniform(seed: str, key: Column) -> Column:
@@ -34,7 +40,7 @@ def uniform(seed: str, key: Column) -> Column:
 
 
 def poisson_cdf(rate: float) -> list[float]:
-    """P(X <= k) for k = 0, 1, ... up to where 1 is reached in doubles."""
+    """P(X <= k) for k = 0, 1, ... up to where 1 is reached in doubles; for rates of at most ``PART``."""
     out, total, k = [], 0.0, 0
     limit = rate + 12 * math.sqrt(rate) + 60
     while k <= limit:
@@ -46,6 +52,11 @@ def poisson_cdf(rate: float) -> list[float]:
     return out
 
 
+def parts_of(rate: float) -> int:
+    """The number of draws for a rate."""
+    return max(1, math.ceil(rate / PART))
+
+
 def rates(docs: DataFrame, shares: dict[str, float], size: float | None = None) -> dict[str | None, float]:
     """Mean copies per document of each named source and, under None, of all others."""
     label = F.when(F.col("source").isin(list(shares)), F.col("source"))
@@ -55,13 +66,23 @@ def rates(docs: DataFrame, shares: dict[str, float], size: float | None = None)
     return {s: size * (left if s is None else shares[s]) / k for s, k in n.items()}
 
 
-def copies(u: Column, rate_of: dict[str | None, float]) -> Column:
-    """The Poisson quantile of u under the rate of the row's source."""
-    count = lambda rate: F.size(F.filter(F.array(*[F.lit(x) for x in poisson_cdf(rate)]), lambda c: c <= u))
-    out = count(rate_of.get(None, 0.0))
+def copies(seed: str, key: Column, rate_of: dict[str | None, float]) -> Column:
+    """The Poisson number of the document ``key`` under the rate of the row's source."""
+
+    def drawn(rate: float) -> Column:
+        parts = parts_of(rate)
+        table = poisson_cdf(rate / parts)
+        at = lambda u: F.size(F.filter(F.array(*[F.lit(x) for x in table]), lambda c: c <= u))
+        first = at(uniform(seed, key))
+        if parts == 1:
+            return first
+        more = lambda n, j: n + at(uniform(seed, F.concat(key, F.lit("#"), j.cast("string"))))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(parts - 1)), first, more)
+
+    out = drawn(rate_of.get(None, 0.0))
     for s, rate in rate_of.items():
         if s is not None:
-            out = F.when(F.col("source") == s, count(rate)).otherwise(out)
+            out = F.when(F.col("source") == s, drawn(rate)).otherwise(out)
     return out
 
 
@@ -78,7 +99,7 @@ def mix(docs: DataFrame, shares: dict[str, float], size: float | None = None, se
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     rate_of = rates(docs, shares, size)
     number = _free(docs, "__number")
-    counted = docs.withColumn(number, copies(uniform(seed, key), rate_of)).where(F.col(number) > 0)
+    counted = docs.withColumn(number, copies(seed, key, rate_of)).where(F.col(number) > 0)
     copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(number)))).drop(number)
     keyed = copied.withColumn("order_key", F.md5(F.concat(F.lit(seed + ":order:"), key, F.lit(":"), F.col("copy").cast("string"))))
     return keyed.orderBy("order_key")

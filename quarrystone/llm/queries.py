@@ -87,24 +87,27 @@ def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, SHARES)
 
 
-def poisson_sql(docs: str, out: str = "doc_id, text, lang, source, n_chars, copy, order_key") -> str:
-    """SQL for the mix of the rows of ``docs``; the shares are those of op2."""
-    named = ", ".join(f"('{s}', CAST({x!r} AS DOUBLE))" for s, x in SHARES.items())
-    left = f"CAST({1.0 - sum(SHARES[s] for s in sorted(SHARES))!r} AS DOUBLE)"
+def poisson_sql(docs: str, out: str = "doc_id, text, lang, source, n_chars, copy, order_key", shares: dict[str, float] = SHARES) -> str:
+    """SQL for the mix of the rows of ``docs``."""
+    named = ", ".join(f"('{s}', CAST({x!r} AS DOUBLE))" for s, x in shares.items())
+    left = f"CAST({1.0 - sum(shares[s] for s in sorted(shares))!r} AS DOUBLE)"
     return f"""
     WITH RECURSIVE docs AS (SELECT * FROM {docs}),
     shares(name, share) AS (VALUES {named}),
     labelled AS (SELECT d.*, coalesce(s.name, '*') AS label, coalesce(s.share, {left}) AS share FROM docs d LEFT JOIN shares s ON d.source = s.name),
     total AS (SELECT CAST(count(*) AS DOUBLE) AS size FROM docs),
-    rates AS (SELECT label, size * any_value(share) / count(*) AS rate FROM labelled, total GROUP BY label, size),
+    whole AS (SELECT label, size * any_value(share) / count(*) AS rate FROM labelled, total GROUP BY label, size),
+    rates AS (SELECT label, greatest(1, ceil(rate / 32.0)) AS parts, rate / greatest(1, ceil(rate / 32.0)) AS rate FROM whole),
     cdf AS (
       SELECT label, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY label ORDER BY k) AS c
-      FROM rates, range(0, 400) t(k)
+      FROM rates, range(0, 200) t(k)
       WHERE rate > 0 AND k <= rate + 12 * sqrt(rate) + 60
     ),
-    keyed AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS key FROM labelled),
-    drawn AS (SELECT *, CAST(CAST('0x' || substr(md5('mix:' || key), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM keyed),
-    counted AS (SELECT d.*, (SELECT count(*) FROM cdf WHERE cdf.label = d.label AND cdf.c <= d.u) AS copies FROM drawn d),
+    keyed AS (SELECT row_number() OVER () AS row, *, coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS key FROM labelled),
+    parts AS (SELECT row, label, unnest(range(0, CAST(parts AS BIGINT))) AS j, key FROM keyed JOIN rates USING (label)),
+    drawn AS (SELECT row, label, CAST(CAST('0x' || substr(md5('mix:' || key || CASE WHEN j > 0 THEN '#' || j ELSE '' END), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM parts),
+    sums AS (SELECT row, CAST(sum((SELECT count(*) FROM cdf WHERE cdf.label = d.label AND cdf.c <= d.u)) AS BIGINT) AS copies FROM drawn d GROUP BY row),
+    counted AS (SELECT * FROM keyed JOIN sums USING (row)),
     copied AS (SELECT *, CAST(unnest(range(1, copies + 1)) AS INT) AS copy FROM counted)
     SELECT {out} FROM (SELECT *, md5('mix:order:' || key || ':' || copy) AS order_key FROM copied)"""
 

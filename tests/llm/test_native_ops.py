@@ -103,6 +103,21 @@ def test_mix_meets_the_shares(spark):
     assert keys == sorted(keys)
 
 
+def test_mix_of_rare_sources_at_any_rate(spark, duck, same):
+    from quarrystone.llm.queries import poisson_sql
+
+    rows = [(0, "rare", "src0"), (1, "rare too", "src3")] + [(i, "t", "other") for i in range(2, 1000)]
+    shares = {"src0": 0.6, "src3": 0.1}
+    docs = docs_of(spark, rows)
+    same(mixing.mix(docs, shares).toPandas(), duck(poisson_sql("documents", shares=shares), documents=docs.toArrow()))
+    # a rate of a million: the plan is as short as at a rate of 40
+    one = docs_of(spark, [(7, "only", "a")])
+    small, large = mixing.mix(one, {"a": 1.0}, size=40), mixing.mix(one, {"a": 1.0}, size=1_000_000)
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(text(large)) < 1.5 * len(text(small)) + 1000
+    assert abs(large.count() - 1_000_000) < 6 * 1000
+
+
 # ---------------------------------------------------------------- secrets
 
 
