@@ -3,24 +3,29 @@
 A document is the multiset of its paragraphs (lines). Every paragraph is hashed
 to a wide vector and the vectors are summed lane by lane modulo 2^32:
 
-* 8 *identity* lanes hold 32-bit hashes of the whole paragraph. Their sums are
-  equal exactly for equal multisets of paragraphs (up to a 2^-256 chance).
+* 8 *identity* lanes are the eight words of the paragraph's SHA-256. Their sums are
+  equal for equal multisets of paragraphs, and for others with a chance of about 2^-256,
+  texts made to collide aside.
 * 64 *likeness* lanes hold, for every three-word shingle of the paragraph, one
   bit each of the shingle's 64-bit hash. With the number of shingles they give
   a signed projection whose cosine estimates how many shingles two documents
   share.
 
 Both parts are sums, so the order of paragraphs does not matter and a paragraph
-is inserted or deleted by adding or subtracting its vector (``combine``).
+is inserted or deleted by adding or subtracting its vector (``combine``). ``edit_likeness``
+makes use of that: the paragraphs that an edit leaves alone are hashed once and count for both texts.
 
 Defined cases: a null text is the empty text; the empty text has one empty
 paragraph (split keeps it), hence a fingerprint of its own; a paragraph of
 fewer than three words has one shingle, the whole sequence, and one without
-words has none; equal texts have equal fingerprints whatever row they are in.
+words has none; equal texts have equal fingerprints whatever row they are in; rows with a null id,
+and rows that repeat an id, are spread over buckets by the hash of their text.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,14 +43,19 @@ def paragraphs(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def identity_lanes(text: Column) -> list[Column]:
-    """Sums modulo 2^32 of the paragraph hashes; two lanes from each 64-bit hash."""
+def digests(text: Column) -> Column:
+    """SHA-256 of every paragraph, as hex digits."""
+    return F.transform(paragraphs(text), lambda p: F.sha2(p, 256))
+
 
-    def lane(seed: int, shift: int) -> Column:
-        hashes = F.transform(paragraphs(text), lambda p: F.xxhash64(p, F.lit(seed)))
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK)))
+def identity_lanes(hashes: Column) -> list[Column]:
+    """Sums modulo 2^32 of the eight words of each digest; zero for a null array."""
 
-    return [lane(j, shift) for j in range(IDENTITY_LANES // 2) for shift in (0, 32)]
+    def lane(j: int) -> Column:
+        word = lambda h: F.conv(F.substring(h, 8 * j + 1, 8), 16, 10).cast("long")
+        return F.coalesce(F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + word(h)), F.lit(0)).bitwiseAND(F.lit(MASK))
+
+    return [lane(j) for j in range(IDENTITY_LANES)]
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -64,6 +74,25 @@ def _packed_sums(h: Column) -> list[Column]:
     return [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(PAIR))).alias(f"s{k}") for k in range(32)]
 
 
+def _summed(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys``, i0.. (identity lanes), n (shingles) and s0.. (packed likeness sums), a row for each row of ``rows``; a null text is no paragraph."""
+    # selects of their own: beside explode, digests and lanes would be evaluated again for every shingle
+    own = rows.select(*keys, digests(F.col(text)).alias("__d"), shingle_hashes(F.col(text)).alias("__hs"))
+    own = own.select(*keys, F.array(*identity_lanes(F.col("__d"))).alias("__i"), "__hs").select(*keys, "__i", F.explode_outer("__hs").alias("__h"))
+    sums = own.groupBy(*keys).agg(F.first("__i").alias("__i"), F.count("__h").alias("n"), *_packed_sums(F.col("__h"))).na.fill(0, [f"s{k}" for k in range(32)])
+    return sums.select(*keys, *[F.get("__i", j).alias(f"i{j}") for j in range(IDENTITY_LANES)], "n", *[f"s{k}" for k in range(32)])
+
+
+LANES = [*[f"i{j}" for j in range(IDENTITY_LANES)], "n", *[f"s{k}" for k in range(32)]]
+
+
+def _written(lanes: Column) -> tuple[Column, Column]:
+    """The fingerprint string and the signed likeness lanes of a struct of sums."""
+    n, packed = lanes["n"], [lanes[f"s{k}"] for k in range(32)]
+    counts = [s.bitwiseAND(F.lit(MASK)) for s in packed] + [F.shiftrightunsigned(s, 32) for s in packed]
+    return F.concat(*[hex32(lanes[f"i{j}"]) for j in range(IDENTITY_LANES)], hex32(n), *[hex32(c) for c in counts]), F.array(*[(2 * c - n).cast("double") for c in counts])
+
+
 def fingerprints(df: DataFrame, text: str, keys: list[str], out: str = "fingerprint", lanes: str = "lanes") -> DataFrame:
     """One row per row of ``df`` with ``keys``, the fingerprint string and its signed lanes.
 
@@ -72,15 +101,9 @@ def fingerprints(df: DataFrame, text: str, keys: list[str], out: str = "fingerpr
     identity lanes, 8 of the number of shingles and 8 for each likeness lane.
     A signed lane is the shingles with the lane's bit set minus those without.
     """
-    t = text_or_empty(F.col(text))
-    # a select of its own: beside explode, the identity would be evaluated again for every shingle
-    rows = df.select(*keys, F.concat(*[hex32(c) for c in identity_lanes(t)]).alias("__identity"), shingle_hashes(t).alias("__hs"))
-    rows = rows.select(*keys, "__identity", F.explode_outer("__hs").alias("__h"))
-    sums = rows.groupBy(*keys, "__identity").agg(F.count("__h").alias("__n"), *_packed_sums(F.col("__h")))
-    sums = sums.na.fill(0, [f"s{k}" for k in range(32)])
-    packed = [F.col(f"s{k}") for k in range(32)]
-    counts = [s.bitwiseAND(F.lit(MASK)) for s in packed] + [F.shiftrightunsigned(s, 32) for s in packed]
-    return sums.select(*keys, F.concat("__identity", hex32(F.col("__n")), *[hex32(c) for c in counts]).alias(out), F.array(*[(2 * c - F.col("__n")).cast("double") for c in counts]).alias(lanes))
+    sums = _summed(df.select(*keys, text_or_empty(F.col(text)).alias("__t")), keys, "__t")
+    fp, signed = _written(F.struct(*LANES))
+    return sums.select(*keys, fp.alias(out), signed.alias(lanes))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -106,22 +129,20 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """Columns bucket, place, doc_id, text, next_text, own: each document with the next one's text.
 
     The order is descending doc_id (null ids last), then text hash, then text;
-    after the last document comes the first. Documents are dealt by ranges of
-    doc_id to ``buckets`` buckets, so that only neighbours meet. The first
+    after the last document comes the first. Documents are dealt to ``buckets`` buckets by ranges of
+    (doc_id, text hash), so that only neighbours meet, however many rows share an id or have none. The first
     document of each bucket is also given to the bucket before it (``own`` is
     false there), which needs it as its last document's neighbour. The bucket
     limits and these first documents number at most ``buckets``.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
-    limits = sorted(set(base.where(F.col("doc_id").isNotNull()).stat.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
-    limits = [int(x) for x in limits]
-    # bucket 0 holds the largest ids; null ids have the last bucket of their own
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(limits) + 1)).otherwise(_bucket_of(limits))
-    first = F.struct(F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)).alias("order"), F.xxhash64("text").alias("hash"))
-    heads = {r["bucket"]: r["first"] for r in base.select(bucket.alias("bucket"), first.alias("first")).groupBy("bucket").agg(F.min("first").alias("first")).collect()}
-    have = sorted(heads)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    limits = _limits(base, buckets)
+    bucket = _bucket_of(limits)
+    first = F.struct(F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)).alias("order"), "hash")
     own = base.select(bucket.alias("bucket"), first.alias("first"), "doc_id", "text", F.lit(True).alias("own"))
+    heads = {r["bucket"]: r["first"] for r in own.groupBy("bucket").agg(F.min("first").alias("first")).collect()}
+    have = sorted(heads)
     if not have:
         return own.select("bucket", F.lit(0).alias("place"), "doc_id", "text", F.lit("").alias("next_text"), "own")
     before = {b: have[i - 1] for i, b in enumerate(have)}
@@ -133,14 +154,43 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     return own.unionByName(lent).select("bucket", F.row_number().over(order).alias("place"), "doc_id", "text", F.coalesce(F.lead("text").over(order), F.lit("")).alias("next_text"), "own")
 
 
-def _bucket_of(limits: list[int]) -> Column:
-    """0 for ids above the largest limit, and so on, by halving."""
+def _limits(base: DataFrame, buckets: int) -> list[tuple]:
+    """Where buckets begin, in the order of ``with_next``: (id, None), or (id, hash) inside an id (or None) that holds more rows than a bucket should.
 
-    def pick(lo: int, hi: int) -> Column:  # ids known to exceed limits[:lo] and not limits[hi:]
+    Ids come from approximate quantiles; an id that more than one of them names is cut by equal ranges of its text hashes.
+    """
+    if buckets <= 1:
+        return []
+    named = base.where(F.col("doc_id").isNotNull()).stat.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets)
+    times: dict = {}
+    for x in map(int, named):
+        times[x] = times.get(x, 0) + 1
+    ends = base.agg(F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n")).first()
+    if ends["nulls"]:
+        times[None] = math.ceil(buckets * ends["nulls"] / ends["n"])
+    out: list[tuple] = []
+    for x in sorted(times, key=lambda x: (x is None, -(x or 0))):
+        out.append((x, None))
+        step = 2**64 // times[x]
+        out += [(x, -(2**63) + j * step) for j in range(1, times[x])]
+    return out
+
+
+def _bucket_of(limits: list[tuple]) -> Column:
+    """The number of limits at or before the row, in the order of ``with_next``, by halving."""
+
+    def reached(limit: tuple) -> Column:
+        i, h = limit
+        if i is None:
+            return F.col("doc_id").isNull() if h is None else F.col("doc_id").isNull() & (F.col("hash") >= h)
+        past = F.col("doc_id").isNull() | (F.col("doc_id") < i)
+        return past | (F.col("doc_id") == i) & ((F.col("hash") >= h) if h is not None else F.lit(True))
+
+    def pick(lo: int, hi: int) -> Column:  # limits[:lo] are reached, limits[hi:] are not
         if lo == hi:
-            return F.lit(len(limits) - lo)
+            return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > limits[mid], pick(mid + 1, hi)).otherwise(pick(lo, mid))
+        return F.when(reached(limits[mid]), pick(mid + 1, hi)).otherwise(pick(lo, mid))
 
     return pick(0, len(limits))
 
@@ -149,7 +199,8 @@ def edit_likeness(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and how alike they and the next document's are.
 
     The edited text replaces the last third (floor) by as many first characters
-    of the next document. Texts are shuffled once, by bucket; everything after
+    of the next document. Whole paragraphs before the cut are in both texts: they are hashed once, apart from the
+    rest of the text and the rest of the edited text, and the sums are added. Texts are shuffled once, by bucket; everything after
     keeps that partitioning.
     """
     spark = docs.sparkSession
@@ -157,16 +208,28 @@ def edit_likeness(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rows = with_next(docs, n)
     chars = F.char_length("text")
     third = F.floor(chars / 3).cast("int")
-    edited = F.concat(F.left(F.col("text"), chars - third), F.left(F.col("next_text"), third))
-    both = rows.select("bucket", "place", "own", "doc_id", chars.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
-    both = both.select("bucket", "place", "own", "doc_id", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.when(F.col("own"), F.col("edited")).alias("t")))).alias("x"))
-    both = both.where((F.col("x.kind") == 0) | F.col("own"))
-    keys = ["bucket", "place", "own", "doc_id", "n_chars", "edited_sha256", "kind"]
-    prints = fingerprints(both.select(*keys[:-1], F.col("x.kind").alias("kind"), F.col("x.t").alias("t")), "t", keys)
-    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("fingerprint", "lanes")))
-    one = prints.groupBy(*keys[:-1]).agg(pick(0).alias("mine"), pick(1).alias("edited"))
+    both = rows.select("bucket", "place", "own", "doc_id", chars.cast("long").alias("n_chars"), "text", F.left(F.col("text"), chars - third).alias("head"), F.left(F.col("next_text"), third).alias("tail"))
+    both = both.withColumn("edited_sha256", F.sha2(F.concat("head", "tail"), 256))
+    # the kept paragraphs end with the last line end before the cut; without one there are none
+    cut = F.char_length("head") - F.char_length(F.substring_index("head", "\n", -1))
+    both = both.withColumn("cut", F.when(F.col("own"), cut).otherwise(F.lit(0)))
+    since = lambda t: F.substring(t, F.col("cut") + 1, F.char_length(t))
+    piece = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("t"))
+    pieces = F.array(piece(0, since(F.col("text"))), piece(1, F.when(F.col("own"), since(F.concat("head", "tail")))), piece(2, F.when(F.col("cut") > 0, F.left(F.col("head"), F.col("cut") - 1))))
+    keys = ["bucket", "place", "own", "doc_id", "n_chars", "edited_sha256"]
+    each = both.select(*keys, F.explode(F.filter(pieces, lambda x: x["t"].isNotNull())).alias("x")).select(*keys, F.col("x.kind").alias("kind"), F.col("x.t").alias("t"))
+    sums = _summed(each, [*keys, "kind"], "t")
+    added = lambda kind: F.struct(*[_lane_sum(c, F.col("kind").isin(kind, 2)).alias(c) for c in LANES])
+    one = sums.groupBy(*keys).agg(added(0).alias("mine"), added(1).alias("edited"))
+    named = lambda side: F.struct(*[x.alias(n) for n, x in zip(("fingerprint", "lanes"), _written(F.col(side)), strict=True)]).alias(side)
+    one = one.select(*keys, named("mine"), named("edited"))
     order = Window.partitionBy("bucket").orderBy("place")
     one = one.withColumn("next", F.lead("mine").over(order)).where("own")
     near = lambda other: likeness(F.col("mine.lanes"), F.col(f"{other}.lanes"), F.col("mine.fingerprint"), F.col(f"{other}.fingerprint"))
     return one.select("doc_id", "n_chars", "edited_sha256", F.col("mine.fingerprint").alias("fingerprint"), F.col("edited.fingerprint").alias("edited_fingerprint"), near("edited").alias("near_edited"), near("next").alias("near_next"))
+
+
+def _lane_sum(lane: str, when: Column) -> Column:
+    """A lane's sum over the pieces of a text; identity lanes modulo 2^32."""
+    total = F.coalesce(F.sum(F.when(when, F.col(lane))), F.lit(0))
+    return total.bitwiseAND(F.lit(MASK)) if lane[0] == "i" else total

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import pandas as pd
 import pytest
+import xxhash
 
 from quarrystone.llm import chat_format, licenses, mixing, multiset_hash, secrets, url_filter
 
@@ -73,6 +74,55 @@ def test_fingerprints_add_and_subtract(spark):
     assert r["sum"] == fp[3] and r["rest"] == fp[1]
 
 
+def brute_print(text):
+    """The fingerprint by its definition."""
+    lanes, n, ones = [0] * 8, 0, [0] * 64
+    for p in text.split("\n"):
+        d = hashlib.sha256(p.encode()).digest()
+        lanes = [(x + int.from_bytes(d[4 * j : 4 * j + 4], "big")) % 2**32 for j, x in enumerate(lanes)]
+        w = re.findall(r"[^ \t\r\f\x0b]+", p)
+        for i in range(max(1, len(w) - 2) if w else 0):
+            h = 42
+            for x in w[i : i + 3]:
+                h = xxhash.xxh64_intdigest(x.encode(), h)
+            n += 1
+            ones = [o + (h >> b & 1) for b, o in enumerate(ones)]
+    return "".join(f"{x % 2**32:08x}" for x in [*lanes, n, *ones])
+
+
+def test_multiset_prints_match_their_definition(spark):
+    rng = random.Random(11)
+    texts = ["", "\n", "one", "a b\n\nc d e f", "\n\n x  y\tz \n", "no line end " * 30] + ["\n".join(words(rng, rng.randint(0, 9)) for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    order = list(range(len(texts)))[::-1]
+    got = {r["doc_id"]: r for r in multiset_hash.edit_likeness(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), 7).collect()}
+    for n, i in enumerate(order):
+        t, nxt = texts[i], texts[order[(n + 1) % len(order)]]
+        e = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        assert got[i]["fingerprint"] == brute_print(t), t
+        assert got[i]["edited_fingerprint"] == brute_print(e), (t, e)
+    # no lane of one paragraph is told by another lane or by one short hash of it: over many paragraphs all pairs of lanes are independent
+    import numpy as np
+
+    many = spark.createDataFrame([(i, f"paragraph {i}") for i in range(2000)], "id long, t string")
+    lanes = np.array([[int(r["fingerprint"][8 * j : 8 * j + 8], 16) for j in range(8)] for r in multiset_hash.fingerprints(many, "t", ["id"]).collect()], dtype=float)
+    assert np.abs(np.corrcoef(lanes.T) - np.eye(8)).max() < 0.12
+
+
+@pytest.mark.parametrize("buckets", [1, 5, 40])
+def test_hot_and_missing_ids_are_spread_and_keep_their_order(spark, buckets):
+    rng = random.Random(buckets)
+    rows = [(i, words(rng, 4)) for i in range(50)] + [(17, words(rng, 5)) for _ in range(60)] + [(None, words(rng, 5)) for _ in range(60)] + [(None, "same")] * 5
+    frame = docs_of(spark, [(i, t, "s") for i, t in rows])
+    spread = multiset_hash.with_next(frame, buckets)
+    if buckets == 40:
+        sizes = Counter(r["bucket"] for r in spread.where("own").collect())
+        assert max(sizes.values()) < 30
+    hashes = {r["text"]: r["h"] for r in frame.selectExpr("text", "xxhash64(text) as h").collect()}
+    order = [t for _, _, t in sorted(((-i if i is not None else 10**9), hashes[t], t) for i, t in rows)]
+    got = Counter((r["text"], r["next_text"]) for r in spread.where("own").collect())
+    assert got == Counter(zip(order, order[1:] + order[:1]))
+
+
 # ---------------------------------------------------------------- mixing
 
 
