@@ -33,7 +33,8 @@ from quarrystone.llm.common import hex32, text_or_empty
 
 IDENTITY_LANES = 8
 LIKENESS_LANES = 64
-PAIR = 0x0000000100000001
+#: hashes whose bits are counted in bytes: one more bit of the top byte would be the sign
+CHUNK = 127
 MASK = 0xFFFFFFFF
 #: hex digits of the identity part, of the shingle count and of one lane
 IDENTITY_HEX, LANE_HEX = 8 * IDENTITY_LANES, 8
@@ -48,19 +49,19 @@ def digests(text: Column) -> Column:
     return F.transform(paragraphs(text), lambda p: F.sha2(p, 256))
 
 
-def identity_lanes(hashes: Column) -> list[Column]:
-    """Sums modulo 2^32 of the eight words of each digest; zero for a null array."""
+def identity_words(hashes: Column) -> list[Column]:
+    """Sums modulo 2^32 of the eight words of each digest, two to a long."""
 
     def lane(j: int) -> Column:
         word = lambda h: F.conv(F.substring(h, 8 * j + 1, 8), 16, 10).cast("long")
-        return F.coalesce(F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + word(h)), F.lit(0)).bitwiseAND(F.lit(MASK))
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + word(h)).bitwiseAND(F.lit(MASK))
 
-    return [lane(j) for j in range(IDENTITY_LANES)]
+    return [F.shiftleft(lane(j), 32).bitwiseOR(lane(j + 1)) for j in range(0, IDENTITY_LANES, 2)]
 
 
 def shingle_hashes(text: Column) -> Column:
     """64-bit hashes of the three-word shingles of every paragraph, in order."""
-    words = F.transform(paragraphs(text), lambda p: F.filter(F.split(p, "[ \t\r\f\u000b]+"), lambda w: w != ""))
+    words = F.transform(paragraphs(text), lambda p: F.array_remove(F.split(p, "[ \t\r\f\u000b]+"), ""))
     return F.flatten(
         F.transform(
             F.filter(words, lambda w: F.size(w) > 0),
@@ -70,27 +71,38 @@ def shingle_hashes(text: Column) -> Column:
 
 
 def _packed_sums(h: Column) -> list[Column]:
-    """32 sums of two 32-bit counters each: bit k of the hash in the low half, bit k + 32 in the high half."""
-    return [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(PAIR))).alias(f"s{k}") for k in range(32)]
+    """8 sums of eight counters each, of 8 bits: byte j of sum k counts bit k + 8 j. Good for ``CHUNK`` hashes."""
+    return [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(0x0101010101010101))).alias(f"p{k}") for k in range(8)]
 
 
 def _summed(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys``, i0.. (identity lanes), n (shingles) and s0.. (packed likeness sums), a row for each row of ``rows``; a null text is no paragraph."""
+    """``keys`` and ``LANES``: rows whose sums by ``keys`` are the lanes of the text, one row for each ``CHUNK`` shingles."""
     # selects of their own: beside explode, digests and lanes would be evaluated again for every shingle
     own = rows.select(*keys, digests(F.col(text)).alias("__d"), shingle_hashes(F.col(text)).alias("__hs"))
-    own = own.select(*keys, F.array(*identity_lanes(F.col("__d"))).alias("__i"), "__hs").select(*keys, "__i", F.explode_outer("__hs").alias("__h"))
-    sums = own.groupBy(*keys).agg(F.first("__i").alias("__i"), F.count("__h").alias("n"), *_packed_sums(F.col("__h"))).na.fill(0, [f"s{k}" for k in range(32)])
-    return sums.select(*keys, *[F.get("__i", j).alias(f"i{j}") for j in range(IDENTITY_LANES)], "n", *[f"s{k}" for k in range(32)])
-
-
+    ids = [f"__i{j}" for j in range(IDENTITY_LANES // 2)]
+    own = own.select(*keys, *[c.alias(n) for n, c in zip(ids, identity_words(F.col("__d")), strict=True)], "__hs").select(*keys, *ids, F.posexplode_outer("__hs").alias("__at", "__h"))
+    chunk = F.coalesce(F.floor(F.col("__at") / CHUNK).cast("int"), F.lit(0))
+    sums = own.groupBy(*keys, *ids, chunk.alias("__chunk")).agg(F.count("__h").alias("n"), *_packed_sums(F.col("__h"))).na.fill(0, [f"p{k}" for k in range(8)])
+    # the identity belongs to the text, not to each of its chunks
+    once = lambda c: F.when(F.col("__chunk") == 0, c).otherwise(F.lit(0))
+    lanes = [once(x).alias(f"i{2 * j + half}") for j, i in enumerate(ids) for half, x in enumerate((F.shiftrightunsigned(i, 32), F.col(i).bitwiseAND(F.lit(MASK))))]
+    two = [F.shiftrightunsigned(f"p{k % 8}", 8 * (k // 8)).bitwiseAND(F.lit(0x000000FF000000FF)).alias(f"s{k}") for k in range(32)]
+    return sums.select(*keys, *lanes, "n", *two)
+
+
+#: sums of a text: identity lanes, number of shingles, and likeness lanes, two to a long (bit k in the low half, bit k + 32 in the high half)
 LANES = [*[f"i{j}" for j in range(IDENTITY_LANES)], "n", *[f"s{k}" for k in range(32)]]
 
 
-def _written(lanes: Column) -> tuple[Column, Column]:
-    """The fingerprint string and the signed likeness lanes of a struct of sums."""
-    n, packed = lanes["n"], [lanes[f"s{k}"] for k in range(32)]
-    counts = [s.bitwiseAND(F.lit(MASK)) for s in packed] + [F.shiftrightunsigned(s, 32) for s in packed]
-    return F.concat(*[hex32(lanes[f"i{j}"]) for j in range(IDENTITY_LANES)], hex32(n), *[hex32(c) for c in counts]), F.array(*[(2 * c - n).cast("double") for c in counts])
+def _prints(sums: DataFrame, keys: list[str], out: str, lanes: str) -> DataFrame:
+    """``keys``, the fingerprint string and its signed lanes, of rows of ``_summed``; identity lanes modulo 2^32."""
+    total = lambda c: F.sum(c).bitwiseAND(F.lit(MASK)) if c[0] == "i" else F.sum(c)
+    sums = sums.groupBy(*keys).agg(*[total(c).alias(c) for c in LANES])
+    packed = [F.col(f"s{k}") for k in range(32)]
+    counts = F.array(*[s.bitwiseAND(F.lit(MASK)) for s in packed], *[F.shiftrightunsigned(s, 32) for s in packed])
+    sums = sums.select(*keys, F.array(*[f"i{j}" for j in range(IDENTITY_LANES)], "n").alias("__own"), counts.alias("__counts"))
+    fp = F.array_join(F.transform(F.concat("__own", "__counts"), hex32), "")
+    return sums.select(*keys, fp.alias(out), F.transform("__counts", lambda c: (2 * c - F.get("__own", IDENTITY_LANES)).cast("double")).alias(lanes))
 
 
 def fingerprints(df: DataFrame, text: str, keys: list[str], out: str = "fingerprint", lanes: str = "lanes") -> DataFrame:
@@ -101,9 +113,7 @@ def fingerprints(df: DataFrame, text: str, keys: list[str], out: str = "fingerpr
     identity lanes, 8 of the number of shingles and 8 for each likeness lane.
     A signed lane is the shingles with the lane's bit set minus those without.
     """
-    sums = _summed(df.select(*keys, text_or_empty(F.col(text)).alias("__t")), keys, "__t")
-    fp, signed = _written(F.struct(*LANES))
-    return sums.select(*keys, fp.alias(out), signed.alias(lanes))
+    return _prints(_summed(df.select(*keys, text_or_empty(F.col(text)).alias("__t")), keys, "__t"), keys, out, lanes)
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -219,17 +229,12 @@ def edit_likeness(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     keys = ["bucket", "place", "own", "doc_id", "n_chars", "edited_sha256"]
     each = both.select(*keys, F.explode(F.filter(pieces, lambda x: x["t"].isNotNull())).alias("x")).select(*keys, F.col("x.kind").alias("kind"), F.col("x.t").alias("t"))
     sums = _summed(each, [*keys, "kind"], "t")
-    added = lambda kind: F.struct(*[_lane_sum(c, F.col("kind").isin(kind, 2)).alias(c) for c in LANES])
-    one = sums.groupBy(*keys).agg(added(0).alias("mine"), added(1).alias("edited"))
-    named = lambda side: F.struct(*[x.alias(n) for n, x in zip(("fingerprint", "lanes"), _written(F.col(side)), strict=True)]).alias(side)
-    one = one.select(*keys, named("mine"), named("edited"))
+    # the kept paragraphs count for both texts
+    sums = sums.withColumn("kind", F.explode(F.when(F.col("kind") < 2, F.array("kind")).otherwise(F.array(F.lit(0), F.lit(1))))).where(F.col("own") | (F.col("kind") == 0))
+    prints = _prints(sums, [*keys, "kind"], "fingerprint", "lanes")
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("fingerprint", "lanes")))
+    one = prints.groupBy(*keys).agg(pick(0).alias("mine"), pick(1).alias("edited"))
     order = Window.partitionBy("bucket").orderBy("place")
     one = one.withColumn("next", F.lead("mine").over(order)).where("own")
     near = lambda other: likeness(F.col("mine.lanes"), F.col(f"{other}.lanes"), F.col("mine.fingerprint"), F.col(f"{other}.fingerprint"))
     return one.select("doc_id", "n_chars", "edited_sha256", F.col("mine.fingerprint").alias("fingerprint"), F.col("edited.fingerprint").alias("edited_fingerprint"), near("edited").alias("near_edited"), near("next").alias("near_next"))
-
-
-def _lane_sum(lane: str, when: Column) -> Column:
-    """A lane's sum over the pieces of a text; identity lanes modulo 2^32."""
-    total = F.coalesce(F.sum(F.when(when, F.col(lane))), F.lit(0))
-    return total.bitwiseAND(F.lit(MASK)) if lane[0] == "i" else total
