@@ -127,24 +127,24 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
-    from quarrystone.llm.licenses import ENDS, catalogue, ordered_rules
+    from quarrystone.llm.licenses import CUT, ENDS, TAIL, _rule_pattern, catalogue, ordered_rules
 
     known = ", ".join(f"('{s}', '{i}')" for s, i in catalogue().items())
-    each = ["".join(f"(?:<{p[:-1]}>)?" if p.endswith("?") else f"<{p}>" for p in ids) for _, ids in ordered_rules()]
+    each = [_rule_pattern(ids) for _, ids in ordered_rules()]
     pattern = "|".join(f"({p})" for p in each)
     cases = " ".join(f"WHEN regexp_full_match(m, '{p}') THEN '{name}'" for p, (name, _) in zip(each, ordered_rules(), strict=True))
     return rf"""
     WITH known(sentence, id) AS (VALUES {known}),
-    docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
-    cut AS (
-      SELECT row, unnest(list_transform(string_split(regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-             '{ENDS}', chr(10), 'g'), '[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g'), chr(10)), lambda s: trim(s))) AS sentence,
-             generate_subscripts(string_split(regexp_replace(text, '{ENDS}', chr(10), 'g'), chr(10)), 1) AS place
-      FROM docs
-    ),
-    ids AS (SELECT row, string_agg(id, ',' ORDER BY place) AS ids, '<' || string_agg(id, '><' ORDER BY place) || '>' AS joined FROM cut JOIN known USING (sentence) GROUP BY row),
+    docs AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+    parts AS (SELECT row, string_split(regexp_replace(regexp_replace(low, '{ENDS}', chr({ord(CUT)}), 'g'), '[\x00\x02-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g'), chr({ord(CUT)})) AS parts FROM docs),
+    cut AS (SELECT row, s, lines FROM (SELECT row, unnest(range(1, len(parts) + 1)) AS s, list_filter(list_transform(string_split(unnest(parts), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM parts) WHERE len(lines) > 0),
+    tails AS (SELECT row, s, i, id FROM (SELECT row, s, lines, unnest(range(greatest(len(lines) - {TAIL}, 0), len(lines))) AS i FROM cut) JOIN known ON sentence = array_to_string(lines[i + 1:], ' ')),
+    hit AS (SELECT row, s, min(i) AS i, arg_min(id, i) AS id FROM tails GROUP BY ALL),
+    lone AS (SELECT x.row, x.s, x.i, k.id FROM (SELECT row, s, lines, unnest(range(0, len(lines))) AS i FROM cut) x JOIN known k ON k.sentence = x.lines[x.i + 1] LEFT JOIN hit h ON h.row = x.row AND h.s = x.s WHERE h.i IS NULL OR x.i < h.i),
+    every AS (SELECT row, s, i, id FROM hit UNION ALL SELECT row, s, i, id FROM lone),
+    ids AS (SELECT row, string_agg(id, ',' ORDER BY s, i) AS ids, '<' || string_agg(id, '><' ORDER BY s, i) || '>' AS joined FROM every GROUP BY row),
     matches AS (SELECT row, unnest(regexp_extract_all(joined, '{pattern}')) AS m, generate_subscripts(regexp_extract_all(joined, '{pattern}'), 1) AS place FROM ids),
-    named AS (SELECT row, place, CASE {cases} END AS license FROM matches),
+    named AS (SELECT * FROM (SELECT row, place, CASE {cases} END AS license FROM matches) WHERE license <> ''),
     firsts AS (SELECT row, license, min(place) AS place, count(*) AS n FROM named GROUP BY row, license),
     found AS (SELECT row, string_agg(license, ',' ORDER BY place) AS licenses, count(*) AS n_licenses, sum(n) AS n_matches FROM firsts GROUP BY row)
     SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses,
@@ -187,6 +187,21 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+ORACLES["op4_decontaminate"] = r"""
+    WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    items AS (SELECT row_number() OVER () AS item, item_id, coalesce(text, '') AS text FROM benchmark),
+    low(kind, row, t) AS (
+      SELECT kind, row, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || caps, 'abcdefghijklmnopqrstuvwxyz' || lower(caps))
+      FROM (SELECT 'd' AS kind, row, text FROM docs UNION ALL SELECT 'i', item, text FROM items), (SELECT string_agg(chr(CAST(c AS INT)), '') FILTER (c <> 215) AS caps FROM range(192, 223) x(c))
+    ),
+    w AS (SELECT kind, row, regexp_extract_all(t, '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM low),
+    own AS (SELECT row AS item, least(5, len(w)) AS k, unnest(list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' ')))) AS shingle FROM w WHERE kind = 'i' AND len(w) > 0),
+    size AS (SELECT item, count(*) AS shingles FROM own GROUP BY 1),
+    held AS (SELECT row, unnest(list_distinct(list_transform(range(1, greatest(len(w) - k, -1) + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS shingle FROM w, (SELECT DISTINCT k FROM own) WHERE kind = 'd'),
+    hits AS (SELECT row, item, count(*) AS n FROM held JOIN own USING (shingle) GROUP BY 1, 2)
+    SELECT doc_id, item_id, CAST(n AS DOUBLE) / shingles AS containment, shingles FROM hits JOIN size USING (item) JOIN docs USING (row) JOIN items USING (item) WHERE n >= 0.8 * shingles - 1e-9"""
+
+
 @query
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score and decision for every document."""

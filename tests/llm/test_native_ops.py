@@ -433,22 +433,85 @@ def test_chat_segments_are_the_formatted_text(spark):
 # ---------------------------------------------------------------- licences
 
 
+AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)."""
+BSD_TWO = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+HOPE = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+FREE = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+#: published texts and notices as paragraphs, with what they are, written down without the catalogue
+PUBLISHED = {
+    "MIT": ["MIT License", "Copyright (c) 2020 A. Author", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", AS_IS],
+    "BSD-2-Clause": ["Copyright (c) 2019, Owner. All rights reserved.", *BSD_TWO, BSD_END],
+    "BSD-3-Clause": ["BSD 3-Clause License", *BSD_TWO, "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", BSD_END],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."],
+    "GPL-2.0-or-later": [FREE.format(";", "General", ";", "2"), HOPE],
+    "GPL-3.0-or-later": [FREE.format(":", "General", ",", "3"), HOPE],
+    "GPL-2.0-only": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", HOPE],
+    "LGPL-2.1-or-later": [FREE.format(";", "Lesser General", ";", "2.1").replace("program", "library"), HOPE.replace("program", "library").replace("General", "Lesser General")],
+    "LGPL-3.0-or-later": [FREE.format(":", "Lesser General", ",", "3")],
+    "AGPL-3.0-or-later": [FREE.format(":", "Affero General", ",", "3"), HOPE.replace("General", "Affero General")],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+}
+
+
+def layouts(paragraphs):
+    """The same text in the layouts in which it is found: one line each, wrapped, in comments, in the middle of prose."""
+    import textwrap
+
+    wrapped = lambda width: "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in paragraphs)
+    yield "\n\n".join(paragraphs)
+    yield wrapped(72)
+    yield wrapped(80).replace("\n", "\r\n")
+    yield "def f(): pass\n" + "\n".join(f"# {line}".rstrip() for line in wrapped(76).split("\n")) + "\n#\nimport x"
+    yield "/*\n" + "\n".join(f" * {line}".rstrip() for line in wrapped(74).split("\n")) + "\n */"
+    yield "Some words\nwithout a stop\n" + wrapped(70) + "\n\nand more words"
+
+
+def test_published_licences_are_told_apart_in_every_layout(spark):
+    cases = [(name, t) for name, p in PUBLISHED.items() for t in layouts(p)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs_of(spark, [(i, t, "s") for i, (_, t) in enumerate(cases)])).collect()}
+    assert {i: (n, t) for i, (n, t) in enumerate(cases) if got[i] != [n]} == {}
+
+
 def test_license_rules_match_planted_texts(spark, duck, same):
-    mit = "\n".join(licenses.SENTENCES[k][0] + "." for k in ("mit-title", "mit-grant", "mit-notice", "as-is-software"))
-    apache = ". ".join(licenses.SENTENCES[k][0] for k in ("apache2-header", "apache2-comply", "apache2-obtain")) + ".\nhttp://x\n" + licenses.SENTENCES["apache2-see"][0] + "."
-    bsd2 = ":\n".join(licenses.SENTENCES[k][0] for k in ("bsd-redistribute", "bsd-source", "bsd-binary")) + "."
-    bsd3 = bsd2 + "\n" + licenses.SENTENCES["bsd-endorse"][0] + "."
+    gpl2 = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\nSome terms.\n\n\tHow to Apply These Terms to Your New Programs\n\n  To do so, attach the following notices to the program.\n\n" + "\n\n".join(PUBLISHED["GPL-2.0-or-later"])
+    apache = "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS. To apply the Apache License to your work, attach the following boilerplate notice, with the fields enclosed by brackets \"[]\" replaced with your own identifying information.\n\n" + "\n\n".join(PUBLISHED["Apache-2.0"])
     texts = {
-        0: None, 1: "", 2: "No licence at all.", 3: f"code\n{mit}\nmore", 4: apache, 5: bsd2, 6: bsd3, 7: "Text. Licensed under CC BY 4.0.\nLicensed under CC BY 4.0!", 8: "MIT License", 9: "this work is LICENSED under the GNU general public license, Version 3.", 10: "All rights reserved.",
-        11: "x " * 60_000 + "\nReleased under the MIT License.\n" + "y " * 1000, 12: bsd2 + "\nMIT License\n" + licenses.SENTENCES["bsd-endorse"][0],
+        0: None, 1: "", 2: "No licence at all.", 3: "This program is free software. See the license.", 4: gpl2, 5: apache, 7: "Text. Licensed under CC BY 4.0.\nLicensed under CC BY 4.0!", 8: "MIT  License", 9: "this work is LICENSED under the GNU general public license, Version 3.", 10: "All  rights\nreserved.",
+        11: "x " * 60_000 + "\nReleased under the MIT License.\n" + "y " * 1000, 12: "\n".join(BSD_TWO) + "\nMIT License\n" + PUBLISHED["BSD-3-Clause"][4], 13: "one\n" * 3_000 + "Released under the MIT License.",
     }
-    docs = docs_of(spark, [(i, t, "s") for i, t in texts.items()] + [(3, texts[3], "s"), (None, "MIT License", None)])
+    docs = docs_of(spark, [(i, t, "s") for i, t in texts.items()] + [(8, texts[8], "s"), (None, "MIT License", None)])
     got = defaultdict(list)
     for r in licenses.scan(docs.selectExpr("*", "'x' as sentence_ids", "1 as licenses")).collect():
-        got[r["doc_id"]].append(r["licenses"])
-    assert got[3] == [["MIT"]] * 2 and got[4] == [["Apache-2.0"]] and got[5] == [["BSD-2-Clause"]] and got[6] == [["BSD-3-Clause"]] and got[7] == [["CC-BY-4.0"]] and got[8] == [["MIT"]]
-    assert got[9] == [["GPL-3.0"]] and got[0] == got[1] == got[2] == got[10] == [[]] and got[11] == [["MIT"]] and got[12] == [["BSD-2-Clause", "MIT"]] and got[None] == [["MIT"]]
+        got[r["doc_id"]].append((r["licenses"], r["n_matches"]))
+    want = {4: ["GPL-2.0-only"], 5: ["Apache-2.0"], 7: ["CC-BY-4.0"], 8: ["MIT"], 9: ["GPL-3.0-only"], 11: ["MIT"], 12: ["BSD-2-Clause", "MIT"], 13: ["MIT"], None: ["MIT"]}
+    for i in [*texts, None]:
+        assert [x for x, _ in got[i]] == [want.get(i, [])] * (2 if i == 8 else 1), i
+    assert got[7] == [(["CC-BY-4.0"], 2)]
     assert licenses.scan(docs.limit(0)).count() == 0
+    from quarrystone.llm.queries import ORACLES
+
+    every = docs_of(spark, [(i, t, "s") for i, t in enumerate([*texts.values(), *[t for p in PUBLISHED.values() for t in layouts(p)]])])
+    from pyspark.sql import functions as F
+
+    rows = licenses.scan(every).select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), F.size("licenses").alias("n_licenses"), "n_matches")
+    same(rows.toPandas(), duck(ORACLES["op9_license_scan"], documents=every.toArrow()))
+
+
+def test_the_catalogue_holds_whole_sentences_that_the_prefilter_lets_through():
+    ends = re.compile(licenses.ENDS.replace(r"\z", r"\Z"))
+    for forms in licenses.SENTENCES.values():
+        for form in forms:
+            assert not ends.search(form), form
+            assert re.search("|".join(licenses.NEEDED), licenses._normal(form)), form
+    ids = {p.rstrip("?") for _, rule in licenses.RULES for p in rule}
+    assert ids <= set(licenses.SENTENCES) and set(licenses.SENTENCES) - ids <= {"reserved"}
 
 
 def test_license_query_matches_sql(spark, duck, same):
