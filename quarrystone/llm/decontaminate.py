@@ -2,199 +2,182 @@
 
 Items are tiny beside documents, so their Jaccard similarity says nothing; what
 counts is *containment*, the part of an item's five-word shingles that a document
-holds. Items are partitioned by size (powers of two of their shingle count). From
-each item a bottom-k MinHash sketch is kept, k depending on its partition: short
-items keep all their shingle hashes, longer ones the ``SKETCH`` smallest. An item
-with containment c misses all k sketch hashes of a document with chance (1-c)^k:
-below 7e-12 for c = 0.8 and k = 16. A document holding any of them is a candidate,
-whatever its length, and containment is then checked on the shingles themselves.
+holds. Items are partitioned by size: partition p has those of more than 2^(p-1) and up to 2^p
+distinct shingles. From each item a bottom-k MinHash sketch is kept, its k that of the partition
+(``sketch_size``). An item of n shingles that a document holds to at least t lacks at most
+(1 - t) n of them there, so floor((1 - t) 2^p) + 1 of its hashes can't all be missing: up to partition 6,
+at 0.8, a sketch finds its item for certain. Larger partitions keep the ``SKETCH`` smallest hashes; all of those are
+missing with a chance of (1 - t)^k, 7e-12 at 0.8.
 
-The benchmark side is broadcast only while its texts stay below ``BROADCAST_BYTES``;
-a larger benchmark is joined to the documents' shingle hashes by a shuffle, and
-candidates are verified in the same way.
+*Candidates.* A table of bits over the sketch hashes, of at most 2^``MOST_BITS`` bits whatever the benchmark,
+is sent to the workers. The shingle hashes of each document that pass it are joined with the sketches: a match makes
+document and item a candidate pair. *Check.* The texts of candidate documents, once for each distinct text,
+meet the items that may be in them, and containment is counted on the shingles themselves, as strings.
+
+There is one path for every size. A side of a join is broadcast while its counted rows are at most
+``BROADCAST_ROWS``; beyond that it is shuffled, and adaptive execution splits keys that many documents share.
 
 An item with fewer than five words has one shingle, all its words; it is contained
 where they occur in a row. Words: see ``bytewords`` (case and punctuation do not
 count). Defined cases: a null text is empty; items without words are never found;
 an item that repeats a shingle counts it once; rows that repeat a doc_id or an
 item_id are each compared; ties do not arise, for every item at or above the
-threshold is reported.
+threshold is reported; further columns are ignored, or kept by ``keep_clean``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm.bytewords import shingle_hashes, text_words, words
-from quarrystone.llm.common import ship
+from quarrystone.llm.common import checkpointed, ship, text_or_empty
 
 ship(__name__)
 
 SHINGLE, THRESHOLD, SKETCH = 5, 0.8, 16
-#: texts of a benchmark that every worker may hold
-BROADCAST_BYTES = 32 << 20
+#: rows of a side that is broadcast: hashes, keys of texts
+BROADCAST_ROWS = 1 << 20
+#: characters of all items together, for broadcasting them
+BROADCAST_CHARS = 16 << 20
+#: the table of bits: at least, and at most
+LEAST_BITS, MOST_BITS = 20, 27
+#: items that one copy of a text is checked against
+LIST = 64
 
 
-def shingles_of(text: str | None) -> list[tuple[str, ...]]:
-    """The distinct shingles of an item, in order of first occurrence."""
-    w = text_words(text or "")
-    if not w:
-        return []
-    return list(dict.fromkeys(tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))))
-
-
-@dataclass
-class Sketches:
-    """For each shingle length: sorted sketch hashes, and the items of each; the items' hashes and shingles for the check."""
-
-    ids: list
-    shingles: list[list[tuple[str, ...]]]
-    hashes: list[np.ndarray]
-    length: list[int]
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]]
-
-    @staticmethod
-    def of(items: list[tuple]) -> Sketches:
-        ids, shingles, hashes, length = [], [], [], []
-        entries: dict[int, list[tuple[int, int]]] = {}
-        for item, text in items:
-            own = shingles_of(text)
-            if not own:
-                continue
-            k = len(own[0])
-            _, _, bounds, (h,) = next(words(pa.array([text])))
-            mine = np.unique(shingle_hashes(h, bounds, k)[0])
-            # partition by size: up to 2^4 shingles all are kept, beyond it the smallest SKETCH
-            kept = mine if len(own) <= SKETCH else mine[:SKETCH]
-            entries.setdefault(k, []).extend((int(x), len(ids)) for x in kept)
-            ids.append(item)
-            shingles.append(own)
-            hashes.append(mine)
-            length.append(k)
-        by_length = {}
-        for k, pairs in entries.items():
-            pairs.sort()
-            by_length[k] = (np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64))
-        return Sketches(ids, shingles, hashes, length, by_length)
-
-
-def contained(own: list[tuple[str, ...]], text: str) -> int:
-    """How many of the shingles the text holds, exactly."""
-    w = text_words(text)
-    k = len(own[0])
-    return len(set(own) & {tuple(w[i : i + k]) for i in range(len(w) - k + 1)})
-
-
-def _found(sketches: Sketches, threshold: float, texts: pa.Array) -> Iterator[tuple[int, int, float]]:
-    """(place of the text, place of the item, containment) for every item that a text holds."""
-    for first, _, bounds, (h,) in words(texts):
-        for k, (probe, item_of) in sketches.by_length.items():
-            hashes, owner = shingle_hashes(h, bounds, k)
-            hit = _members(hashes, probe)
-            if not len(hit):
-                continue
-            pairs = set()
-            for i in hit.tolist():
-                lo, hi = np.searchsorted(probe, hashes[i], "left"), np.searchsorted(probe, hashes[i], "right")
-                pairs.update((int(owner[i]), int(m)) for m in item_of[lo:hi])
-            begins = np.searchsorted(owner, np.arange(len(bounds)))
-            own_of, own_hashes = -1, hashes[:0]
-            for d, m in sorted(pairs):
-                if d != own_of:
-                    own_of, own_hashes = d, np.unique(hashes[begins[d] : begins[d + 1]])
-                mine = sketches.hashes[m]
-                at = np.searchsorted(own_hashes, mine)
-                n = int((own_hashes[np.minimum(at, len(own_hashes) - 1)] == mine).sum())
-                if n >= threshold * len(mine) - 1e-9:  # then the strings themselves
-                    own = sketches.shingles[m]
-                    n = contained(own, texts[first + d].as_py())
-                    if n >= threshold * len(own) - 1e-9:
-                        yield first + d, m, n / len(own)
+def sketch_size(p: int, threshold: float) -> int:
+    """Hashes kept of an item in partition p."""
+    return min(SKETCH, 2**p - math.ceil(threshold * 2**p - 1e-9) + 1)
 
 
-def _search(sketches: Sketches, threshold: float):
+def _sketches(threshold: float):
+    """Batches of (item, text) to (item, k, part, hash): the sketch of each item with words; k is its shingles' length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            out = [(ids[i].as_py(), sketches.ids[m], c, len(sketches.shingles[m])) for i, m, c in _found(sketches, threshold, batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "containment", "shingles"])
+            rows: list[tuple[int, int, int]] = []
+            hashes: list[np.ndarray] = []
+            at = 0
+            for _, last, bounds, (h,) in words(batch.column(1)):
+                for i in range(len(bounds) - 1):
+                    own = h[bounds[i] : bounds[i + 1]]
+                    k = min(SHINGLE, len(own))
+                    if k:
+                        mine = np.unique(shingle_hashes(own, np.array([0, len(own)]), k)[0])
+                        p = int(len(mine) - 1).bit_length()
+                        mine = mine[: sketch_size(p, threshold)]
+                        rows += [(at + i, k, p)] * len(mine)
+                        hashes.append(mine)
+                at = last
+            at_, k_, p_ = (np.array([r[j] for r in rows], np.int64) for j in range(3))
+            values = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at_)), pa.array(k_), pa.array(p_), pa.array(values)], names=["item", "k", "part", "hash"])
 
     return run
 
 
-def _members(hashes: np.ndarray, probe: np.ndarray) -> np.ndarray:
-    """Places of the hashes that are in the sorted ``probe``; most are ruled out by a table of their top bits."""
-    bits = 20
-    table = np.zeros(1 << bits, dtype=bool)
-    table[(probe >> np.uint64(64 - bits)).astype(np.int64)] = True
-    maybe = np.flatnonzero(table[(hashes >> np.uint64(64 - bits)).astype(np.int64)])
-    at = np.searchsorted(probe, hashes[maybe])
-    return maybe[probe[np.minimum(at, len(probe) - 1)] == hashes[maybe]]
+def _bit_table(hashes: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """(bits, table): the top ``bits`` bits of each hash are the place of a set bit; at most 2^(MOST_BITS - 6) longs come to the driver."""
+    bits = min(MOST_BITS, max(LEAST_BITS, n.bit_length() + 6))
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))")
+    found = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return bits, table.view(np.uint64)
 
 
-def _items(benchmark: DataFrame, broadcast_bytes: int) -> tuple[DataFrame, list[tuple] | None]:
-    """The items, and as a list where they are small enough for every worker."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("b")).first()["b"]
-    return items, [tuple(r) for r in items.collect()] if size <= broadcast_bytes else None
+def _probe(lengths: list[int], bits: int, shared):
+    """Batches of (key, text) to (key, hash): the shingle hashes that pass the table."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, low, six = shared.value, np.uint64(63), np.uint64(6)
+        for batch in batches:
+            owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for first, _, bounds, (h,) in words(batch.column(1)):
+                for k in lengths:
+                    hashes, owner = shingle_hashes(h, bounds, k)
+                    place = hashes >> np.uint64(64 - bits)
+                    hit = np.flatnonzero((table[(place >> six).astype(np.int64)] >> (place & low)) & np.uint64(1))
+                    owners.append(owner[hit] + first)
+                    found.append(hashes[hit])
+            pairs = np.unique(np.stack([np.concatenate(owners).astype(np.uint64), np.concatenate(found)]), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].view(np.int64))], names=["key", "hash"])
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, item_id, containment, shingles of the item: a row for every item that a document holds."""
-    items, few = _items(benchmark, broadcast_bytes)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    schema = "doc_id long, item_id long, containment double, shingles long"
-    if few is not None:
-        return texts.mapInArrow(_search(Sketches.of(few), threshold), schema)
-    return _by_shuffle(texts.withColumn("row", F.monotonically_increasing_id()), items, threshold).select("doc_id", "item_id", "containment", "shingles")
+    return run
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
-    items, few = _items(benchmark, broadcast_bytes)
-    if few is None:  # by the text's hash: equal texts hold the same items
-        texts = docs.select(F.xxhash64("text").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-        bad = _by_shuffle(texts, items, threshold).select(F.col("row").alias("__bad")).distinct()
-        return docs.join(bad, F.xxhash64(docs["text"]) == bad["__bad"], "left_anti")
-    sketches, at = Sketches.of(few), docs.columns.index("text")
+def shingles_of(text: str | None, k: int | None = None) -> set[tuple[str, ...]]:
+    """The distinct shingles of k words; without k those of an item: five words, or all of fewer."""
+    w = text_words(text or "")
+    k = min(SHINGLE, len(w)) if k is None else k
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
+
+
+def _check(threshold: float):
+    """Batches of (key, text, items) to (key, item, item_id, containment, shingles) of the items that the text holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for i, _, _ in _found(sketches, threshold, batch.column(at).cast(pa.string())):
-                keep[i] = False
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _by_shuffle(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """The same for a benchmark of any size: the shingles of both sides meet as strings.
-
-    ``texts`` has row (its key), doc_id and text. A shingle that a third of all documents hold
-    is one row per document there, and adaptive execution splits its join.
-    """
-
-    def cut(lengths: tuple[int, ...]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    w = text_words(text)
-                    ks = lengths or (min(len(w), SHINGLE),)
-                    out = sorted({" ".join(w[i : i + k]) for k in ks if k for i in range(len(w) - k + 1)})
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(out), pa.int64()), pa.array([key] * len(out), pa.int64()), pa.array(out), pa.array([len(out)] * len(out), pa.int64())], names=["row", "key", "shingle", "n"])
-
-        return run
-
-    spec = "row long, key long, shingle string, n long"
-    left = items.select(F.monotonically_increasing_id().alias("row"), "item_id", "text").mapInArrow(cut(()), spec).select(F.col("row").alias("item_row"), F.col("key").alias("item_id"), "shingle", F.col("n").alias("shingles"))
-    right = texts.select("row", "doc_id", "text").mapInArrow(cut(tuple(range(1, SHINGLE + 1))), spec).select("row", F.col("key").alias("doc_id"), "shingle")
-    hits = right.join(left, "shingle").groupBy("row", "doc_id", "item_row", "item_id", "shingles").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.where(F.col("hits") >= threshold * F.col("shingles") - 1e-9).select("row", "doc_id", "item_id", (F.col("hits") / F.col("shingles")).alias("containment"), "shingles")
+            out: list[tuple] = []
+            for key, text, items in zip(*(batch.column(i) for i in range(3)), strict=True):
+                held: dict[int, set] = {}
+                for x in items.as_py():
+                    own = shingles_of(x["text"])
+                    k = len(next(iter(own)))
+                    if k not in held:
+                        held[k] = shingles_of(text.as_py(), k)
+                    n = len(own & held[k])
+                    if n >= threshold * len(own) - 1e-9:
+                        out.append((key.as_py(), x["item"], x["item_id"], n / len(own), len(own)))
+            types = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["key", "item", "item_id", "containment", "shingles"])
+
+    return run
+
+
+def text_key(text: Column) -> Column:
+    """What tells texts apart; equal texts hold the same items and are checked once."""
+    return F.md5(text_or_empty(text))
+
+
+def held_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """key (``text_key``), item, item_id, containment, shingles for each distinct text that holds an item; ``item`` tells rows of the benchmark apart."""
+    spark = docs.sparkSession
+    few = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
+    numbered = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), text_or_empty(F.col("text")).alias("text"))
+    items = checkpointed(numbered)
+    sketches = checkpointed(items.select("item", "text").mapInArrow(_sketches(threshold), "item long, k long, part long, hash long"))
+    size = sketches.agg(F.count(F.lit(1)).alias("n"), F.collect_set("k").alias("k")).first()
+    bits, table = _bit_table(sketches, size["n"])
+    texts = docs.select(text_key(F.col("text")).alias("key"), text_or_empty(F.col("text")).alias("text"))
+    hits = texts.mapInArrow(_probe(sorted(size["k"]), bits, spark.sparkContext.broadcast(table)), "key string, hash long")
+    pairs = checkpointed(hits.join(few(sketches.select("hash", "item"), size["n"]), "hash").select("key", "item").distinct())
+    counts = checkpointed(pairs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("lists")))
+    n = counts.count()
+    chars = items.agg(F.coalesce(F.sum(F.char_length("text") + 64), F.lit(0)).alias("c")).first()["c"]
+    wanted = pairs.join(few(counts, n), "key").join(F.broadcast(items) if chars <= broadcast_chars else items, "item")
+    lists = wanted.groupBy("key", F.pmod(F.xxhash64("item"), "lists").alias("list")).agg(F.collect_list(F.struct("item", "item_id", "text")).alias("items"))
+    once = texts.join(few(counts.select("key"), n), "key", "left_semi").dropDuplicates(["key"])
+    return once.join(lists, "key").select("key", "text", "items").mapInArrow(_check(threshold), "key string, item long, item_id long, containment double, shingles long")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """doc_id, item_id, containment, shingles of the item: a row for every item that a document holds."""
+    held = checkpointed(held_items(docs, benchmark, threshold, broadcast_rows, broadcast_chars))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"))
+    side = F.broadcast(held) if held.count() <= broadcast_rows else held
+    return rows.join(side, "key").select("doc_id", "item_id", "containment", "shingles")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns."""
+    bad = checkpointed(held_items(docs, benchmark, threshold, broadcast_rows, broadcast_chars).select(F.col("key").alias("__bad")).distinct())
+    side = F.broadcast(bad) if bad.count() <= broadcast_rows else bad
+    return docs.join(side, text_key(docs["text"]) == side["__bad"], "left_anti")

@@ -172,15 +172,15 @@ def contamination_case(rng):
     return docs + [(101, docs[3][1]), (None, docs[-1][1])], items
 
 
-def test_contamination_matches_brute_force_both_ways(spark):
+def test_contamination_matches_brute_force_broadcast_and_shuffled(spark):
     rng = random.Random(8)
     docs, items = contamination_case(rng)
     frame, bench = docs_of(spark, docs).selectExpr("*", "'x' as shingle", "1 as row"), spark.createDataFrame(items, "item_id long, text string")
     want = brute_contained(docs, items)
-    for limit in (decontaminate.BROADCAST_BYTES, 0):
-        got = Counter((r["doc_id"], r["item_id"], round(r["containment"], 9), r["shingles"]) for r in decontaminate.contaminated(frame, bench, broadcast_bytes=limit).collect())
-        assert got == want, limit
-        kept = decontaminate.keep_clean(frame, bench, broadcast_bytes=limit)
+    for limits in ({}, {"broadcast_rows": 0, "broadcast_chars": 0}):
+        got = Counter((r["doc_id"], r["item_id"], round(r["containment"], 9), r["shingles"]) for r in decontaminate.contaminated(frame, bench, **limits).collect())
+        assert got == want, limits
+        kept = decontaminate.keep_clean(frame, bench, **limits)
         bad = {d for d, *_ in want}
         assert kept.columns == frame.columns
         assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _ in docs if d not in bad)
@@ -188,6 +188,28 @@ def test_contamination_matches_brute_force_both_ways(spark):
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0 and decontaminate.keep_clean(frame, bench.limit(0)).count() == len(docs)
 
 
+def test_sketches_are_sized_by_partition_and_find_all_that_is_contained(spark):
+    """The least sketch that can't be missed, up to SKETCH hashes; recall at the threshold's edge, over many sizes."""
+    assert [decontaminate.sketch_size(p, 0.8) for p in range(9)] == [1, 1, 1, 2, 4, 7, 13, 16, 16]
+    rng = random.Random(31)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(n + 4))) for i, n in enumerate([1, 2, 3, 4, 5, 8, 9, 16, 17, 31, 33, 64, 65, 100, 128, 200, 400] * 3)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        n = len(w) - 4
+        gone = n - -(-8 * n // 10)  # shingles that may be missing: cut from either end
+        left = rng.randint(0, gone)
+        docs += [(i, prose(rng, 50) + " " + " ".join(w[left : len(w) - (gone - left)]) + " " + prose(rng, 50)), (1000 + i, " ".join(w[left : len(w) - (gone - left) - 1]))]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i, _ in items}
+
+
+def test_decontamination_query_matches_sql(spark, duck, same):
+    from quarrystone.llm.queries import ORACLES, QUERIES
+
+    same(QUERIES["op4_decontaminate"](spark, SF).toPandas(), duck(ORACLES["op4_decontaminate"], documents=pd.read_parquet(f"{SF}/documents.parquet"), benchmark=pd.read_parquet(f"{SF}/benchmark.parquet")))
+
+
 def test_words_of_very_long_texts_are_those_of_the_whole():
     import pyarrow as pa
 
