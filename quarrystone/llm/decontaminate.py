@@ -159,7 +159,7 @@ def held_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     texts = docs.select(text_key(F.col("text")).alias("key"), text_or_empty(F.col("text")).alias("text"))
     hits = texts.mapInArrow(_probe(sorted(size["k"]), bits, spark.sparkContext.broadcast(table)), "key string, hash long")
     pairs = checkpointed(hits.join(few(sketches.select("hash", "item"), size["n"]), "hash").select("key", "item").distinct())
-    counts = checkpointed(pairs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("lists")))
+    counts = pairs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("lists"))
     n = counts.count()
     chars = items.agg(F.coalesce(F.sum(F.char_length("text") + 64), F.lit(0)).alias("c")).first()["c"]
     wanted = pairs.join(few(counts, n), "key").join(F.broadcast(items) if chars <= broadcast_chars else items, "item")

@@ -215,7 +215,7 @@ RULES: list[tuple[str, list[str]]] = [
 
 #: a text without any of these holds no known sentence; where one has a gap, normalising would make it one space
 NEEDED = [
-    "licen", "warrant", "permi", "redistribut", "reserved", "domain", "liable", "gpl", "mpl", "epl", "cc0", r"\bcc\b", "bsd", "apache", "free[^a-z0-9]+software",
+    "licen", "warrant", "permi", "redistribut", "reserved", "domain", "liable", "[al]?gpl", "mpl", "epl", "cc0", "cc[^a-z0-9]", "bsd", "apache", "free[^a-z0-9]+software",
     "version[^a-z0-9]+[123]", "apply[^a-z0-9]+these[^a-z0-9]+terms", "attach[^a-z0-9]+the", "advertising[^a-z0-9]+materials", "is[^a-z0-9]+provided",
 ]
 
@@ -228,6 +228,11 @@ TAIL = 40
 CUT = "\u0001"
 
 
+def prefilter() -> str:
+    """The pattern of ``NEEDED``, tried at the beginnings of words only."""
+    return f"(?<![a-z0-9])(?:{'|'.join(NEEDED)})"
+
+
 def _normal(s: str) -> str:
     """The same as ``normalised``, for the catalogue."""
     return " ".join("".join(c if c in LOWER + "0123456789" or ord(c) > 127 else " " for c in s.translate(str.maketrans(UPPER, LOWER))).split())
@@ -283,8 +288,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, sentence_ids (in order), licenses (distinct, in order of first match), n_matches (of rules that name a licence)."""
     t = text_or_empty(F.col(text))
     none = F.array().cast("array<string>")
-    # only texts with a word that licences hold are cut into sentences: every rule needs a sentence with one of these
-    likely = F.translate(t, UPPER, LOWER).rlike("|".join(NEEDED))
+    likely = F.lower(t).rlike(prefilter())
     rows = docs.select("doc_id", F.when(likely, identifiers(t)).otherwise(none).alias("sentence_ids"))
     joined = F.concat(F.lit("<"), F.array_join("sentence_ids", "><"), F.lit(">"))
     found = F.when(F.size("sentence_ids") > 0, F.regexp_extract_all(joined, F.lit(pattern()), F.lit(0))).otherwise(none)
