@@ -29,6 +29,9 @@ keep a row of their own; other columns are ignored, or carried where named.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +53,13 @@ REACH = 300
 MARK = "[REDACTED]"
 
 
+def _may_hold(t: Column, kind: str) -> Column:
+    """False only where plain characters that every match has are lacking: cheaper than the pattern."""
+    if kind in ("assign", "ident", "endpoint"):
+        return F.contains(t, F.lit(":")) | F.contains(t, F.lit("="))
+    return F.contains(t, F.lit({"access": "AKIA", "break": "\n"}.get(kind, "")))
+
+
 def _pieces(t: Column, kind: str, pattern: str, keep=None) -> Column:
     """Array of structs (kind, n, gap, size, ok): the n-th match, the code points before it since the last, and whether it counts."""
     whole = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
@@ -59,7 +69,7 @@ def _pieces(t: Column, kind: str, pattern: str, keep=None) -> Column:
         lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("n"), F.char_length(x["gap"]).alias("gap"), F.char_length(x["m"]).alias("size"), x["ok"].alias("ok")),
     )
     # the piece after the last match pairs with no match
-    return F.when(t.rlike(pattern), F.filter(rows, lambda x: x["size"].isNotNull())).otherwise(F.array().cast("array<struct<kind:int,n:int,gap:int,size:int,ok:boolean>>"))
+    return F.when(_may_hold(t, kind) & t.rlike(pattern), F.filter(rows, lambda x: x["size"].isNotNull())).otherwise(F.array().cast("array<struct<kind:int,n:int,gap:int,size:int,ok:boolean>>"))
 
 
 def _parts(t: Column) -> Column:
@@ -131,7 +141,8 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     Rows whose texts hold no part of any kind are passed through as they are, unshuffled.
     """
     t = text_or_empty(F.col("text"))
-    any_part = t.rlike(ASSIGN) | t.rlike(ACCESS) | t.rlike(HEX) | t.rlike(IDENT) | t.rlike(KEY) | t.rlike(ENDPOINT)
+    patterns = {"access": ACCESS, "assign": ASSIGN, "ident": IDENT, "endpoint": ENDPOINT, "hex": HEX, "key": KEY}
+    any_part = functools.reduce(operator.or_, [_may_hold(t, kind) & t.rlike(p) for kind, p in patterns.items()])
     found = find(docs.where(any_part), docs.columns)
     text = F.col("doc.text")
     piece = lambda s: F.concat(F.substring(text, s["covered"].cast("int") + 1, F.greatest(s["start"] - s["covered"], F.lit(0)).cast("int")), F.when(s["start"] >= s["covered"], F.lit(mark)).otherwise(F.lit("")))
