@@ -46,6 +46,7 @@ BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 CROWD = 2048
 #: groups up to this size report all links
 FEW = 16
+HEAVY = 1000
 PAIR = 0x0000000100000001
 
 ship(__name__)
@@ -223,12 +224,19 @@ def links(distinct: DataFrame, fp: str = "fp", crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id for each row of ``docs``."""
+    """doc_id, fingerprint (16 hex digits) and component_id for each row of ``docs``.
+
+    Fingerprints that more than one in ``HEAVY`` rows have are fewer than ``HEAVY``: they are joined back by a broadcast, all others by a shuffle.
+    """
     prints = checkpointed(fingerprints(docs, ["doc_id"], text))
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     roots = components(links(groups))
     linked = roots.join(groups, roots["node"] == groups["fp"]).select("node", "root", "least")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(ids, "root").select("node", "component_id")
-    of = groups.join(named, groups["fp"] == named["node"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = checkpointed(groups.join(named, groups["fp"] == named["node"], "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
+    heavy = F.col("n") * HEAVY > prints.count()
+    known = prints.join(F.broadcast(of.where(heavy).select(F.col("fp").alias("h"), F.col("component_id").alias("c"))), F.col("fp") == F.col("h"), "left")
+    rest = known.where(F.col("h").isNull()).select("doc_id", "fp").join(of.where(~heavy), "fp").select("doc_id", "fp", "component_id")
+    every = known.where(F.col("h").isNotNull()).select("doc_id", "fp", F.col("c").alias("component_id")).unionByName(rest)
+    return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
