@@ -16,8 +16,8 @@ text, and the inverse reads each backslash pair once from the left.
 Defined cases: a null text is the empty text, a null role the empty role; roles
 without an entry in the template get the generic marks with their name and
 are invalid to the state machine; turns are ordered by turn (nulls first), then
-role, then text, so ties have one order and repeated rows stay; a null conv_id
-is a conversation of its own; an empty table gives an empty result. The texts of
+role, then text, so ties have one order and repeated rows stay; a row with a null conv_id belongs
+to no other and is a conversation of its own; an empty table gives an empty result. The texts of
 one conversation meet in one task when they are put together, since they form
 one string; validation itself needs the previous turn only.
 """
@@ -91,17 +91,18 @@ def _choose(role: Column, template: ChatTemplate, of, otherwise: Column) -> Colu
 
 
 def _clean(df: DataFrame) -> DataFrame:
-    return df.select("conv_id", "turn", text_or_empty(F.col("role")).alias("role"), text_or_empty(F.col("text")).alias("text"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    return df.select("conv_id", alone.alias("alone"), "turn", text_or_empty(F.col("role")).alias("role"), text_or_empty(F.col("text")).alias("text"))
 
 
 def validated(df: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame:
-    """conv_id, turn, role, text, n, ok: whether the machine allows each turn where it stands (and, for the last, to end there)."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    """conv_id, alone (tells rows without a conv_id apart), turn, role, text, n, ok: whether the machine allows each turn where it stands (and, for the last, to end there)."""
+    order = Window.partitionBy("conv_id", "alone").orderBy("turn", "role", "text")
     rows = _clean(df).withColumn("n", F.row_number().over(order)).withColumn("before", F.lag("role").over(order)).withColumn("after", F.lead("role").over(order))
     allowed = _choose(F.col("before"), template, lambda r: F.col("role").isin([x for x in r.then if x is not None]), F.lit(False))
     may_end = _choose(F.col("role"), template, lambda r: F.lit(None in r.then), F.lit(False))
     ok = F.when(F.col("before").isNull(), F.col("role").isin(list(template.start))).otherwise(allowed) & (F.col("after").isNotNull() | may_end)
-    return rows.select("conv_id", "turn", "role", "text", "n", ok.alias("ok"))
+    return rows.select("conv_id", "alone", "turn", "role", "text", "n", ok.alias("ok"))
 
 
 def _parts(template: ChatTemplate) -> Column:
@@ -123,8 +124,8 @@ def segments(df: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame:
 
 def format_conversations(df: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame:
     """conv_id, formatted, segments (array of text and loss), valid, first_error (place of the first refused turn)."""
-    rows = validated(df, template).select("conv_id", "n", "ok", _parts(template).alias("parts"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "parts"))).alias("turns"), F.min(F.when(~F.col("ok"), F.col("n"))).alias("first_error"))
+    rows = validated(df, template).select("conv_id", "alone", "n", "ok", _parts(template).alias("parts"))
+    whole = rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list(F.struct("n", "parts"))).alias("turns"), F.min(F.when(~F.col("ok"), F.col("n"))).alias("first_error"))
     whole = whole.withColumn("segments", F.flatten(F.col("turns.parts")))
     return whole.select("conv_id", F.array_join(F.col("segments.text"), "").alias("formatted"), "segments", F.col("first_error").isNull().alias("valid"), "first_error")
 

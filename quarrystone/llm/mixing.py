@@ -28,6 +28,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.llm.common import free_name
+
 #: bits of the uniform number; exact in a double
 BITS = 52
 #: the largest rate that one draw stands for
@@ -86,19 +88,11 @@ def copies(seed: str, key: Column, rate_of: dict[str | None, float]) -> Column:
     return out
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def mix(docs: DataFrame, shares: dict[str, float], size: float | None = None, seed: str = "mix") -> DataFrame:
     """The columns of ``docs`` with ``copy`` (1, 2, ...) and ``order_key``, globally sorted by the latter."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     rate_of = rates(docs, shares, size)
-    number = _free(docs, "__number")
+    number = free_name(docs.columns, "__number")
     counted = docs.withColumn(number, copies(seed, key, rate_of)).where(F.col(number) > 0)
     copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(number)))).drop(number)
     keyed = copied.withColumn("order_key", F.md5(F.concat(F.lit(seed + ":order:"), key, F.lit(":"), F.col("copy").cast("string"))))

@@ -51,11 +51,11 @@ def _op6_sql() -> str:
     generic = sum(map(len, DEFAULT.generic))
     return f"""
     WITH rows AS (
-      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-      UNION ALL SELECT -7, 0, 'user', '{PLANTED_TURN}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED_TURN}'
+      SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, NULL, 0, 'user', '{PLANTED_TURN}' UNION ALL SELECT -7, NULL, 1, 'assistant', '{PLANTED_TURN}'
     ), placed AS (
       SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before, lead(role) OVER w AS after
-      FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+      FROM rows WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)
     ), judged AS (
       SELECT *, (CASE WHEN before IS NULL THEN role IN ({start}) ELSE {then} END) AND (after IS NOT NULL OR role IN ({ends})) AS ok,
              length({escaped.format('text')}) + CASE role {marks} ELSE {generic} + length({escaped.format('role')}) END AS chars
@@ -68,7 +68,7 @@ def _op6_sql() -> str:
            CAST(sum(chars) AS BIGINT) AS formatted_chars,
            coalesce(bool_and(ok), true) AS valid,
            CAST(min(n) FILTER (NOT ok) AS INT) AS first_error
-    FROM judged GROUP BY conv_id"""
+    FROM judged GROUP BY conv_id, alone"""
 
 
 ORACLES["op6_chat_format"] = _op6_sql()
@@ -232,7 +232,7 @@ ORACLES["op8_warc_audit"] = r"""
     WITH records AS (
       SELECT page_id, html,
              strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') ||
-                    chr(13) || chr(10) || 'WARC-Record-ID: <urn:sha256:') + 64 +
+                    chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:') + 36 +
              strlen('>' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))) +
              8 + strlen(coalesce(html, '')) AS length
       FROM pages

@@ -3,7 +3,7 @@
 ``records`` writes pages as WARC/1.0 resource records: per archive file in order
 of page_id, each with its offset and length. ``tree`` hashes them: a leaf is the
 SHA-256 of a record with its place in the order, a node that of its up to ``FANOUT`` children in
-order, together with the range of offsets that they cover; the top node of an archive
+order, each with the range of offsets that it covers, counted from the node's own start; the top node of an archive
 is its root. ``audit`` compares two replicas: roots first, then only the
 children of nodes that differ, down to records.
 
@@ -11,8 +11,12 @@ An archive holds the page_ids of one range of ``ARCHIVE`` numbers, and a record'
 place in the tree is its page_id's place in that range. So every group is bounded (an
 archive has ``ARCHIVE`` places, a node ``FANOUT`` children), no archive depends on the
 amount of data, and a missing record changes one path of the tree, not all that follow.
-Nodes cover the same numbers in both replicas; offsets are reported, and hashed as
-lengths, which do not shift when an earlier record is lost.
+Nodes cover the same numbers in both replicas. Ranges start at their node, so a record that is lost
+shifts its siblings' ranges, which stand in nodes that differ anyway, and no others; offsets in the file are reported.
+Where page_ids lie far apart, an archive holds few records and the descent saves little.
+
+A record has the mandatory headers: its date is a parameter, for pages have none, and its id is made of
+page_id, url and content, so rows that repeat all three are copies of one record. Of records that share a place, the place is told to differ, not which one.
 
 Defined cases: null urls and contents are empty; rows that repeat a page_id share
 a place, in order of their hashes, and each counts (a replica with one copy less is
@@ -31,14 +35,17 @@ from quarrystone.llm.common import checkpointed, text_or_empty
 FANOUT, LEVELS = 16, 3
 #: places of an archive
 ARCHIVE = FANOUT**LEVELS
+DATE = "1970-01-01T00:00:00Z"
 
 
-def record(url: Column, content: Column) -> Column:
+def record(url: Column, content: Column, page_id: Column | None = None, date: str = DATE) -> Column:
     """The record as a string: header lines, an empty line, the content and the two line ends after it."""
     url, content = text_or_empty(url), text_or_empty(content)
+    own = F.sha2(F.concat_ws("\n", F.coalesce((F.lit(None) if page_id is None else page_id).cast("string"), F.lit("")), url, content), 256)
+    uuid = F.concat_ws("-", *[F.substring(own, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     return F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url,
-        F.lit("\r\nWARC-Record-ID: <urn:sha256:"), F.sha2(url, 256),
+        F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Record-ID: <urn:uuid:"), uuid,
         F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(content).cast("string"),
         F.lit("\r\n\r\n"), content, F.lit("\r\n\r\n"),
     )
@@ -46,7 +53,7 @@ def record(url: Column, content: Column) -> Column:
 
 def leaves(pages: DataFrame, content: str = "html") -> DataFrame:
     """page_id, archive, place, length, digest; contents are hashed where they are read and not kept."""
-    r = record(F.col("url"), F.col(content))
+    r = record(F.col("url"), F.col(content), F.col("page_id").cast("long"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(r).cast("long").alias("length"), F.sha2(r, 256).alias("digest"))
     archive = F.coalesce(F.floor(F.col("page_id") / ARCHIVE).cast("long"), -1 - F.conv(F.substring("digest", 4, 6), 16, 10).cast("long"))
     place = F.coalesce(F.pmod("page_id", F.lit(ARCHIVE)), F.conv(F.substring("digest", 1, 3), 16, 10).cast("long") % ARCHIVE)
@@ -60,8 +67,13 @@ def records(pages: DataFrame, content: str = "html") -> DataFrame:
 
 
 def _node(children: Column) -> Column:
-    """SHA-256 over children (structs place, hash, length) in order."""
-    return F.sha2(F.array_join(F.transform(F.array_sort(children), lambda c: F.concat_ws(":", c["place"].cast("string"), c["hash"], c["length"].cast("string"))), ","), 256)
+    """SHA-256 over children (structs place, hash, length) in order, each with its range of offsets in the node."""
+
+    def step(a: Column, c: Column) -> Column:
+        end = a["at"] + c["length"]
+        return F.struct(end.alias("at"), F.concat(a["said"], F.concat_ws(":", c["place"].cast("string"), c["hash"], a["at"].cast("string"), end.cast("string")), F.lit(",")).alias("said"))
+
+    return F.sha2(F.aggregate(F.array_sort(children), F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("said")), step)["said"], 256)
 
 
 def places(leaf: DataFrame) -> DataFrame:
