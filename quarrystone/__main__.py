@@ -101,7 +101,7 @@ def _report(spark, a) -> reports.Report | str:
 
         rep = reports.Report(f"Export of {a.xer.rsplit('/', 1)[-1]}")
         rows = export_tables(spark, a.xer, a.tables.split(",") if a.tables else None, a.out_dir).collect()
-        rep.table(None, ["Table", "Rows", "Folder"], [[r["table"], "missing" if r["n_rows"] is None else r["n_rows"], "" if r["n_rows"] is None else f"{a.out_dir}/{r['table']}"] for r in rows])
+        rep.add(reports.Listing(None, ["Table", "Rows", "Folder"], [[r["table"], "missing" if r["n_rows"] is None else r["n_rows"], "" if r["n_rows"] is None else f"{a.out_dir}/{r['table']}"] for r in rows]))
         return rep
     if c == "digest":
         return reports.digest(spark, a.xer)
@@ -181,7 +181,7 @@ def main(argv: list[str] | None = None) -> int:
             from quarrystone.sources.files import ingest, inventory
 
             rep = reports.Report("Source Inventory")
-            rep.table(None, ["File", "Size", "Pages", "Extract"], [list(r) for r in inventory(ingest(spark, a.root)).orderBy("file").collect()])
+            rep.add(reports.Listing(None, ["File", "Size", "Pages", "Extract"], [list(r) for r in inventory(ingest(spark, a.root)).orderBy("file").collect()]))
             print(rep.markdown())
             return 0
         if a.command in ("search", "build-index", "audit", "verify-links", "link-hubs", "view"):
