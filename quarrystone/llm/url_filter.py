@@ -5,11 +5,12 @@ that a rule fits also train two variable-order Markov models, one of accepted
 and one of rejected URLs; any other URL gets the verdict of the difference of
 its log-likelihoods, divided by its length, against a threshold.
 
-*Alphabet.* a-z, one symbol for all digits, ``/ . -``, one symbol for anything
-else and one for the start: 32 codes. Contexts have up to two symbols, so a model has
-at most 32 + 32^2 + 32^3 counts however many URLs there are. That bound is why
-the counts may come to the driver and the table of log ratios may travel inside
-the plan as one constant: no URL leaves its task when it is scored.
+``judge_deep``, which the query uses, keeps every symbol apart (A-Z are lower-cased) with contexts of up to ``ORDER`` of them.
+Its counts grow with the URLs and stay in a table; only the histogram below comes to the driver.
+
+``judge`` is the small form, which does not tell digits apart: 32 codes (a-z, one for all digits, ``/ . -``, one for anything
+else, one for the start) and contexts of up to two symbols, at most 32 + 32^2 + 32^3 counts a model, so that the log ratios travel inside
+the plan as one constant and no URL leaves its task.
 
 *Smoothing.* Witten-Bell: the probability after a context of length k is
 (count + t * P_{k-1}) / (total + t), t the distinct symbols seen after it; below
@@ -22,8 +23,8 @@ class, the threshold is 0. A score above the threshold accepts.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and
 the score of the empty text; ties at the threshold block; with no labelled URL
-of one class both models are uniform; repeated rows are judged alike; the
-longest host suffix wins among fitting rules, then the longest path prefix.
+of one class both models are uniform; repeated rows are judged alike; of fitting rules
+the longest wins, host and path taken together, then that of the longer host.
 """
 
 from __future__ import annotations
