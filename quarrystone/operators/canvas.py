@@ -24,8 +24,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parsed(canvases: DataFrame) -> DataFrame:
-    strict = F.from_json("json", SCHEMA, {"mode": "PERMISSIVE"})
-    return canvases.select("canvas", "json", strict.alias("c"), F.try_parse_json("json").alias("v"))
+    # of a text that breaks off the reader would keep what came before: what isn't JSON has no nodes at all
+    valid = F.try_parse_json("json")
+    return canvases.select("canvas", "json", F.when(valid.isNotNull(), F.from_json("json", SCHEMA, {"mode": "PERMISSIVE"})).alias("c"), valid.alias("v"))
 
 
 def nodes(canvases: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ relationship asks for. It is computed for every relationship at once, by the joi
 ``calendar``. A gap within ``TOLERANCE`` is driving.
 
 *Longest path*: everything that the ends lead back to along driving relationships.
-One schedule is one file and its driving relationships are few, so the walk is done
-per file (files in parallel); ``walk="frontier"`` goes round by round over the whole
-cluster instead and gives the same rows, for a single network too large for that.
+While no file has more than ``WALK_EDGES`` driving relationships, as counted, the walk is done
+per file (files in parallel); beyond that it goes round by round over the whole
+cluster. ``walk`` ("file", "frontier") names one of the two, which give the same rows.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from quarrystone.session import checkpointed, ship
 
 #: hours
 TOLERANCE = 0.1
+#: driving relationships of one file that one task may hold
+WALK_EDGES = 1_000_000
 
 ship(__name__)
 
@@ -109,10 +111,13 @@ def _walk(seeds: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"file": [file] * len(seen), "node": sorted(seen)})
 
 
-def path_nodes(s: Schedules, to: str | None = None, walk: str = "file", edges: DataFrame | None = None) -> DataFrame:
+def path_nodes(s: Schedules, to: str | None = None, walk: str | None = None, edges: DataFrame | None = None) -> DataFrame:
     """file, node: the activities on the longest path to the ends (or to the activity ``to``)."""
     edges = driving_edges(s) if edges is None else edges
     seeds = named_ends(s, to) if to else default_ends(s)
+    if walk is None:
+        most = edges.groupBy("file").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        walk = "file" if most <= WALK_EDGES else "frontier"
     if walk == "frontier":
         return reached(edges, seeds, ["file"]).select("file", "node")
     # both sides stem from the same tables: the keys are named anew, so that each is known for its own
@@ -150,7 +155,7 @@ def _held_by(i: int) -> Column:
     return F.when(F.col("early_start").isNull(), F.lit(None).cast("timestamp_ntz")).when(c.isin("CS_MSO", "CS_MSOA", "CS_MANDSTART"), F.col("early_start")).when(c.isin("CS_MEO", "CS_MEOA", "CS_MANDFIN"), F.col("early_end"))
 
 
-def longest_path(s: Schedules, to: str | None = None, walk: str = "file") -> DataFrame:
+def longest_path(s: Schedules, to: str | None = None, walk: str | None = None) -> DataFrame:
     """The activities on the path with their columns, driven_by (array of structs code, rel, lag_d), reason (of those without), is_end.
 
     Order them by start, then finish, nulls last.
