@@ -299,6 +299,6 @@ def test_output_forms(spark, file, tmp_path, capsys):
     out = capsys.readouterr().out
     assert "| TASK | 41 |" in out and "| NONE | missing |" in out
     r = reports.Report("T")
-    r.table("H", ["a"], [["x|y\nz"], [None]])
-    r.table(None, ["a"], [])
+    r.add(reports.Listing("H", ["a"], [["x|y\nz"], [None]]))
+    r.add(reports.Listing(None, ["a"], []))
     assert "| x\\|y z |" in r.markdown() and "_None._" in r.markdown()
