@@ -6,7 +6,8 @@ those of text and headings plus ``boost_weight`` for each boosted token.
 One query needs no index: the first pass over the chunks yields their number, mean
 length and, for the query's terms only, how many chunks hold each (one row, whatever the
 corpus); the second scores every chunk in one projection and keeps the best k. No text is
-shuffled. Many queries go through ``postings``: term counts of the queries' terms only.
+shuffled. Many queries go through ``postings``: term counts of the queries' terms only. Where a corpus is
+asked again and again, ``write_index`` keeps its postings by term and ``search_index`` reads those of a query's terms.
 
 Filters are applied to the chunks before either, so statistics are those of what is searched.
 Scores that differ in the tenth decimal at most count as equal, and go by the id columns.
@@ -14,10 +15,12 @@ Scores that differ in the tenth decimal at most count as equal, and go by the id
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrystone.functions.text import query_tokens, tokens
 from quarrystone.session import checkpointed
@@ -28,6 +31,8 @@ TOP = 8
 ALIAS_BOOST = 2.5
 #: queries whose distinct terms are many times more than this are not broadcast
 BROADCAST_TERMS = 200_000
+#: folders of a written index, and files in each
+BUCKETS, PARTS = 256, 8
 
 
 def boost_weight(boost: float) -> int:
@@ -95,18 +100,58 @@ def search(
     return best.select(rank.alias("rank"), F.round("__score", 4).alias("score"), *ids, *[c for c in keep or [] if c not in ids])
 
 
-def postings(chunks: DataFrame, ids: list[str], text: str = "text", headings: str | None = None, boost: str | None = None, alias_boost: float = ALIAS_BOOST) -> DataFrame:
-    """``ids``, dl, term, tf: the inverted index in long form.
-
-    The terms of a chunk are counted within its row, so nothing is shuffled; partition by a hash of the term when writing it.
-    """
+def _postings(chunks: DataFrame, ids: list[str], text: str, headings: str | None, boost: str | None, alias_boost: float) -> DataFrame:
+    """chunk (a number given to the row), ``ids``, dl, term, tf."""
     w = boost_weight(alias_boost)
     rows = _counts(chunks, text, headings, boost, w)
     marked = F.concat(F.transform("__body", lambda t: F.struct(t.alias("t"), F.lit(1).alias("w"))), F.transform("__boost", lambda t: F.struct(t.alias("t"), F.lit(w).alias("w"))))
     # the row number is given before the rows are multiplied
-    rows = rows.select(F.monotonically_increasing_id().alias("__row"), *ids, F.col("__dl").alias("dl"), marked.alias("xs"))
-    rows = rows.select("__row", *ids, "dl", F.explode("xs").alias("x"))
-    return rows.groupBy("__row", *ids, "dl", F.col("x.t").alias("term")).agg(F.sum("x.w").alias("tf")).drop("__row")
+    rows = rows.select(F.monotonically_increasing_id().alias("chunk"), *ids, F.col("__dl").alias("dl"), marked.alias("xs"))
+    rows = rows.select("chunk", *ids, "dl", F.explode("xs").alias("x"))
+    return rows.groupBy("chunk", *ids, "dl", F.col("x.t").alias("term")).agg(F.sum("x.w").alias("tf"))
+
+
+def postings(chunks: DataFrame, ids: list[str], text: str = "text", headings: str | None = None, boost: str | None = None, alias_boost: float = ALIAS_BOOST) -> DataFrame:
+    """``ids``, dl, term, tf: the inverted index in long form; a chunk's tokens are counted where they are before they meet."""
+    return _postings(chunks, ids, text, headings, boost, alias_boost).drop("chunk")
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_index(
+    chunks: DataFrame, folder: str, ids: list[str], text: str = "text", headings: str | None = None, boost: str | None = None, alias_boost: float = ALIAS_BOOST, buckets: int = BUCKETS
+) -> None:
+    """Writes the postings below ``folder`` for ``search_index``: texts are tokenised once, whatever is asked later.
+
+    Postings lie in folders by a hash of their term and are sorted by term within a file. A bucket is cut into ``PARTS`` files by chunk,
+    so that a very frequent term is no single task. ``ids`` must not be named chunk, dl, term, tf or bucket.
+    """
+    if clash := {"chunk", "dl", "term", "tf", "bucket"} & {c.lower() for c in ids}:
+        raise ValueError(f"columns of the index: {', '.join(sorted(clash))}")
+    spread = _postings(chunks, ids, text, headings, boost, alias_boost).withColumn("bucket", _bucket(F.col("term"), buckets))
+    spread = spread.repartition("bucket", F.pmod(F.xxhash64("chunk"), F.lit(PARTS))).sortWithinPartitions("bucket", "term")
+    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    totals = _counts(chunks, text, headings, boost, boost_weight(alias_boost)).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("__dl"), F.lit(0)).cast("long").alias("total"))
+    totals.withColumns({"buckets": F.lit(buckets), "schema": F.lit(spread.schema.json())}).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
+
+
+def search_index(spark: SparkSession, folder: str, query: str, ids: list[str], k: int = TOP) -> DataFrame:
+    """What ``search`` gives for the chunks that ``write_index`` saw, without their texts: only the buckets of the query's terms are read."""
+    asked = query_tokens(query)
+    terms = sorted(set(asked))
+    whole = spark.read.parquet(f"{folder}/totals").first()
+    n, avgdl = whole["n"], (whole["total"] / whole["n"] if whole["n"] else 0.0)
+    schema = T.StructType.fromJson(json.loads(whole["schema"]))
+    rows = spark.read.schema(schema).parquet(f"{folder}/postings").where(F.col("bucket").isin([_bucket(F.lit(t), whole["buckets"]) for t in terms]) & F.col("term").isin(terms))
+    df = {r["term"]: r["df"] for r in rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    weight = F.lit(0.0)
+    for t, d in df.items():
+        weight = F.when(F.col("term") == t, asked.count(t) * term_weight(F.col("tf").cast("double"), math.log(1 + (n - d + 0.5) / (d + 0.5)), F.col("dl"), avgdl)).otherwise(weight)
+    scored = rows.groupBy("chunk", *ids).agg(F.round(F.sum(weight), 9).alias("__score"))
+    best = scored.where(F.col("__score") > 0).orderBy(F.desc("__score"), *ids).limit(k)
+    return best.select(F.row_number().over(Window.orderBy(F.desc("__score"), *ids)).alias("rank"), F.round("__score", 4).alias("score"), *ids)
 
 
 def search_many(chunks: DataFrame, queries: DataFrame, ids: list[str], query_id: str, query_text: str = "text", k: int = TOP, text: str = "text", headings: str | None = None, boost: str | None = None, alias_boost: float = ALIAS_BOOST) -> DataFrame:

@@ -69,6 +69,21 @@ def i8_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents").select("doc_id", "text"), WORDS, ["doc_id"])
 
 
+@query(_bm25_sql("SELECT doc_id, text FROM documents", 8))
+def i8_indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a written index of the whole table, which is deleted once the best are known."""
+    import uuid
+
+    from quarrystone.operators.search import search_index, write_index
+    from quarrystone.session import checkpoint_folder, checkpointed, remove_folder
+
+    folder = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    write_index(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, ["doc_id"])
+    best = checkpointed(search_index(spark, folder, WORDS, ["doc_id"]))
+    remove_folder(spark, folder)
+    return best
+
+
 @query(_bm25_sql("SELECT doc_id, text FROM documents WHERE lang = 'en' AND contains(source, '1')", 20))
 def c8_bm25_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same among documents of one language and of sources with a 1; statistics are those of what is left."""

@@ -28,14 +28,26 @@ def own_folder(master: str) -> str:
     return tempfile.mkdtemp(prefix="checkpoints")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in ``spark.checkpoint.dir``; a local session, as in tests, may do without that setting."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local session, as in tests, may do without that setting."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or own_folder(sc.master))
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a reliable checkpoint in ``checkpoint_folder``."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a written folder, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ship(module: str) -> None:
     """Has the module's functions sent to the workers by value, so that workers need no copy of this package."""
     import sys

@@ -187,6 +187,26 @@ def test_search_matches_a_plain_ranking(spark):
     assert total == 0
 
 
+def test_written_index_ranks_as_search_does(spark, tmp_path):
+    rng = random.Random(2)
+    word = lambda: rng.choice(["pump", "26.08.01", "x1", "room", "a", "b"])
+    rows = [(f"p{i % 7}", i // 2, " ".join(word() for _ in range(rng.randint(0, 30))), [word()] * rng.randint(0, 2)) for i in range(80)] + [("q", 1, None, None)]
+    df = spark.createDataFrame(rows, "path string, n int, text string, boost array<string>").repartition(4)
+    search.write_index(df, str(tmp_path / "i"), ["path", "n"], boost="boost", buckets=16)
+    for query in ("pump pump 26.08.01", "room unknown", "unknown", ""):
+        want = search.search(df, query, ["path", "n"], 12, boost="boost")
+        got = search.search_index(spark, str(tmp_path / "i"), query, ["path", "n"], 12)
+        assert got.schema.names == want.schema.names and pairs(got) == pairs(want)
+    found = search.search_index(spark, str(tmp_path / "i"), "pump", ["n"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull" in plan or "PartitionFilters: [(bucket" in plan or "PartitionFilters: [bucket" in plan
+    for empty in (df.limit(0), df.where("text is null")):
+        search.write_index(empty, str(tmp_path / "e"), ["path", "n"], boost="boost", buckets=4)
+        assert search.search_index(spark, str(tmp_path / "e"), "pump", ["path", "n"]).count() == 0
+    with pytest.raises(ValueError):
+        search.write_index(df, str(tmp_path / "c"), ["path", "term"])
+
+
 def test_index_is_used_while_fresh(spark, vault, tmp_path):
     index = str(tmp_path / "index")
     assert not N.index_is_fresh(spark, index, vault)
