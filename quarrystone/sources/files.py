@@ -9,18 +9,22 @@ from __future__ import annotations
 
 import io
 import re
+import shutil
+import subprocess
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from quarrystone.session import ship
 
 OK, CACHED, FAILED, SKIPPED = "ok", "ok (cached)", "FAILED", "skipped (unsupported)"
 COPIED = ["csv", "tsv", "txt", "md"]
 EXTRACTED = ["pdf", "xlsx", "xlsm", "pptx", "msg", "xer", *COPIED]
+#: a file on which the PDF tool takes longer is FAILED
+PDF_SECONDS = 600
 MANIFEST = ["path", "size", "mtime_s"]
 SHEET_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -104,6 +108,11 @@ def _msg(data: bytes, least: int = 6) -> str:
 
 
 def _pdf(data: bytes) -> tuple[str, int]:
+    """Text and pages, by poppler's ``pdftotext`` where a worker has it (columns stay side by side), else by ``pypdf``."""
+    if tool := shutil.which("pdftotext"):
+        # bytes go through pipes, so no file is left on the worker; each page ends with a form feed
+        text = subprocess.run([tool, "-layout", "-enc", "UTF-8", "-", "-"], input=data, capture_output=True, check=True, timeout=PDF_SECONDS).stdout.decode("utf-8", "replace")
+        return text, text.count("\f")
     import pypdf
 
     pages = pypdf.PdfReader(io.BytesIO(data), strict=False).pages
@@ -199,15 +208,20 @@ def duplicate_groups(docs: DataFrame, key: str, text: str = "text") -> DataFrame
 def free_names(wanted: DataFrame, existing: DataFrame, day: str) -> DataFrame:
     """name, saved_as: each wanted name or, if a file has it, the first free one of its (uploaded ...) forms; null if none is free.
 
-    ``wanted`` and ``existing`` have a column name; ``day`` is YYYY-MM-DD.
+    ``wanted`` and ``existing`` have a column name; ``day`` is YYYY-MM-DD. Of uploads that want one name each takes the next free
+    form, and a form that another upload wants as its name is left to it: no two are saved as one file.
     """
     stem = F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
     ext = F.substring(F.col("name"), F.char_length(stem) + 1, F.char_length("name"))
     form = lambda tail: F.concat(stem, F.lit(tail), ext)
     forms = F.array(F.col("name"), form(" (uploaded copy)"), form(f" (uploaded {day})"), *[form(f" (uploaded {day}) {i}") for i in range(2, 100)])
-    each = wanted.select("name", F.posexplode(forms).alias("at", "candidate"))
-    free = each.join(existing.select(F.col("name").alias("candidate")).distinct(), "candidate", "left_anti")
-    return wanted.join(free.groupBy("name").agg(F.min_by("candidate", "at").alias("saved_as")), "name", "left").select("name", "saved_as")
+    turn = lambda key, order: F.row_number().over(Window.partitionBy(key).orderBy(order))
+    names = wanted.select("name").distinct()
+    each = names.select("name", F.posexplode(forms).alias("at", "candidate"))
+    others = names.select(F.col("name").alias("candidate"), F.lit(True).alias("asked"))
+    free = each.join(existing.select(F.col("name").alias("candidate")).distinct(), "candidate", "left_anti").join(others, "candidate", "left")
+    free = free.where((F.col("at") == 0) | F.col("asked").isNull()).select("name", turn("name", "at").alias("turn"), F.col("candidate").alias("saved_as"))
+    return wanted.select("name", turn("name", "name").alias("turn")).join(free, ["name", "turn"], "left").select("name", "saved_as")
 
 
 def intake(spark: SparkSession, upload: str, root: str, folder: str, name: str | None = None, day: str | None = None) -> dict:

@@ -16,9 +16,13 @@ a table lacks reads as empty.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrystone.session import checkpoint_folder, remove_folder
+
 
 class ScheduleError(ValueError):
     """What was asked for is not in the export, or the file isn't one."""
@@ -94,22 +98,27 @@ def require_schedules(lines: DataFrame) -> None:
 def export_tables(spark: SparkSession, paths: str | list[str], tables: list[str] | None, folder: str) -> DataFrame:
     """Writes each table as CSV below ``folder`` (a folder per table); returns table, n_rows (null: no such table).
 
-    The two delete characters that stand for a line end inside a cell become one.
+    The two delete characters that stand for a line end inside a cell become one. The exports are read once: the rows go by table
+    to the shared folder, and each table is written from its own part.
     """
     lines = read_lines(spark, paths)
-    rows = rows_of(lines)
     have = [r["table"] for r in declared(lines).select("table").distinct().orderBy("table").collect()]
     wanted = [t.strip().upper() for t in tables] if tables else have
+    chosen = rows_of(lines).where(F.col("table").isin([t for t in wanted if t in have]))
+    store = f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
+    chosen.write.partitionBy("table").parquet(store)
+    rows = spark.read.schema(chosen.schema).parquet(store)
     out = []
     for t in wanted:
         if t not in have:
             out.append((t, None))
             continue
         own = rows.where(F.col("table") == t)
-        first = own.orderBy("file", "line_no").select("fields").first()
-        names = list(dict.fromkeys(first["fields"])) if first else []
+        first = own.agg(F.count(F.lit(1)).alias("n"), F.min_by("fields", F.struct("file", "line_no")).alias("fields")).first()
+        names = list(dict.fromkeys(first["fields"] or []))
         if names:
             clean = [F.regexp_replace(cell(n), "\u007f\u007f", "\n").alias(n) for n in names]
             own.select(*clean).write.mode("overwrite").option("header", True).csv(f"{folder}/{t}")
-        out.append((t, own.count()))
+        out.append((t, first["n"]))
+    remove_folder(spark, store)
     return spark.createDataFrame(out, "table string, n_rows long")

@@ -97,6 +97,25 @@ def test_intake_never_overwrites(spark, tmp_path):
     assert take(name="Given.md")["saved"] == "in/Given.md" and (root / "in/up.txt").read_text() == "one"
 
 
+def test_names_of_one_batch_differ(spark):
+    wanted = spark.createDataFrame([("a.txt",)] * 3 + [("b",), ("a (uploaded copy).txt",), ("c.md",), ("c.md",)], "name string")
+    existing = spark.createDataFrame([("a.txt",), ("b",)], "name string")
+    got = pairs(files.free_names(wanted, existing, "2024-03-15"))
+    assert got == sorted([("a.txt", f"a (uploaded 2024-03-15){n}.txt") for n in ("", " 2", " 3")] + [("a (uploaded copy).txt",) * 2, ("b", "b (uploaded copy)"), ("c.md", "c.md"), ("c.md", "c (uploaded copy).md")])
+    many = files.free_names(spark.range(105).selectExpr("'x.y' AS name"), existing, "2024-03-15").collect()
+    assert len(many) == 105 and len({r["saved_as"] for r in many} - {None}) == 101
+    assert files.free_names(wanted.limit(0), existing, "2024-03-15").count() == 0
+
+
+def test_pdf_text_by_tool(tmp_path, monkeypatch):
+    tool = tmp_path / "pdftotext"
+    tool.write_text("""#!/bin/sh\ngrep -q '^%PDF' || exit 1\nprintf 'left   right\\n\\fsecond \\303\\251\\n\\f'\n""")
+    tool.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:{os.environ['PATH']}")
+    assert files.extract("pdf", b"%PDF-1.4\n...") == ("left   right\n\x0csecond é\n\x0c", 2, "ok")
+    assert files.extract("pdf", b"no such thing") == (None, None, "FAILED")
+
+
 # ---------------------------------------------------------------- canvases
 
 GOOD = {"nodes": [{"id": "g", "type": "group", "x": 0, "y": 0, "width": 100, "height": 100}, {"id": "a", "type": "text", "x": 10, "y": 10, "width": 20, "height": 20, "text": "t"}, {"id": "b", "type": "file", "x": 90, "y": 10, "width": 20, "height": 20, "file": "f.md", "color": "6"}], "edges": [{"id": "e1", "fromNode": "a", "toNode": "b", "fromSide": "top", "color": "#ff0000"}, {"id": "e2", "fromNode": "b", "toNode": "a"}]}
