@@ -781,6 +781,6 @@ def h10_missing_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing(_event_dates(spark, sf_dir))
 
 
-from quarrystone import queries_more  # noqa: E402  registers the rest
+from quarrystone import queries_more, queries_text  # noqa: E402  registers the rest
 
-__all__ = ["ORACLES", "QUERIES", "queries_more", "worked_sql"]
+__all__ = ["ORACLES", "QUERIES", "queries_more", "queries_text", "worked_sql"]

@@ -212,12 +212,14 @@ def free_names(wanted: DataFrame, existing: DataFrame, day: str) -> DataFrame:
     form, and a form that another upload wants as its name is left to it: no two are saved as one file.
     """
     stem = F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
-    ext = F.substring(F.col("name"), F.char_length(stem) + 1, F.char_length("name"))
-    form = lambda tail: F.concat(stem, F.lit(tail), ext)
-    forms = F.array(F.col("name"), form(" (uploaded copy)"), form(f" (uploaded {day})"), *[form(f" (uploaded {day}) {i}") for i in range(2, 100)])
     turn = lambda key, order: F.row_number().over(Window.partitionBy(key).orderBy(order))
     names = wanted.select("name").distinct()
-    each = names.select("name", F.posexplode(forms).alias("at", "candidate"))
+    # forms are numbered rows, not a hundred expressions: generated code stays small
+    each = names.select("name", stem.alias("stem"), F.explode(F.sequence(F.lit(0), F.lit(100))).alias("at"))
+    ext = F.substring(F.col("name"), F.char_length("stem") + 1, F.char_length("name"))
+    dated = F.when(F.col("at") == 2, f" (uploaded {day})").otherwise(F.concat(F.lit(f" (uploaded {day}) "), (F.col("at") - 1).cast("string")))
+    tail = F.when(F.col("at") == 0, "").when(F.col("at") == 1, " (uploaded copy)").otherwise(dated)
+    each = each.select("name", "at", F.concat("stem", tail, ext).alias("candidate"))
     others = names.select(F.col("name").alias("candidate"), F.lit(True).alias("asked"))
     free = each.join(existing.select(F.col("name").alias("candidate")).distinct(), "candidate", "left_anti").join(others, "candidate", "left")
     free = free.where((F.col("at") == 0) | F.col("asked").isNull()).select("name", turn("name", "at").alias("turn"), F.col("candidate").alias("saved_as"))
