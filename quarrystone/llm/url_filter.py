@@ -5,16 +5,12 @@ that a rule fits also train two variable-order Markov models, one of accepted
 and one of rejected URLs; any other URL gets the verdict of the difference of
 its log-likelihoods, divided by its length, against a threshold.
 
-``judge_deep``, which the query uses, keeps every symbol apart (A-Z are lower-cased) with contexts of up to ``ORDER`` of them.
-Its counts grow with the URLs and stay in a table; only the histogram below comes to the driver.
-
-``judge`` is the small form, which does not tell digits apart: 32 codes (a-z, one for all digits, ``/ . -``, one for anything
-else, one for the start) and contexts of up to two symbols, at most 32 + 32^2 + 32^3 counts a model, so that the log ratios travel inside
-the plan as one constant and no URL leaves its task.
+Every symbol stays apart (A-Z are lower-cased), with contexts of up to ``ORDER`` of them. Counts grow with the URLs: they stay in a table
+of distinct grams, and only the histogram below comes to the driver.
 
 *Smoothing.* Witten-Bell: the probability after a context of length k is
 (count + t * P_{k-1}) / (total + t), t the distinct symbols seen after it; below
-the empty context stands the uniform distribution.
+the empty context stands the uniform distribution over all code points.
 
 *Calibration.* Models are fitted on four fifths of the rule-labelled URLs (by
 hash). On the other fifth the threshold with the best balanced accuracy is taken
@@ -23,26 +19,24 @@ class, the threshold is 0. A score above the threshold accepts.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and
 the score of the empty text; ties at the threshold block; with no labelled URL
-of one class both models are uniform; repeated rows are judged alike; of fitting rules
+of one class all scores are 0; repeated rows are judged alike; of fitting rules
 the longest wins, host and path taken together, then that of the longer host.
 """
 
 from __future__ import annotations
 
-import json
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import text_or_empty
+from quarrystone.llm.common import checkpointed, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: the code of a symbol is its place here; code 0 is the start, 31 anything else
-SYMBOLS = "^" + LOWER + "0" + "/.-"
-CODES = 32
-OTHER = CODES - 1
+#: symbols of context before the one that is judged
+ORDER = 5
+#: the uniform distribution below the empty context is over all code points
+UNIFORM = 1 / 0x110000
 #: bins of the calibration histogram, over scores of -SPAN to SPAN
 BINS, SPAN = 2000, 5.0
 
@@ -85,59 +79,6 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def trigram_codes(host: Column, path: Column) -> Column:
-    """Per symbol, before-last * 32^2 + last * 32 + itself; an empty array for the empty text."""
-    # a symbol's code by its byte: one lookup in a constant array, no search
-    table = [OTHER] * 128
-    for i, s in enumerate(SYMBOLS):
-        if i:
-            table[ord(s)] = i
-    for s in UPPER:
-        table[ord(s)] = SYMBOLS.index(s.lower())
-    for s in "123456789":
-        table[ord(s)] = SYMBOLS.index("0")
-    codes_ = F.from_json(F.lit(json.dumps(table)), "array<int>")
-    chars = F.filter(F.split(F.concat(host, path), ""), lambda c: c != "")
-    one = F.transform(chars, lambda c: F.coalesce(F.get(codes_, F.ascii(c)), F.lit(OTHER)))
-    padded = F.concat(F.array(F.lit(0), F.lit(0)), one)
-    # one pass keeps the last two symbols: zip the padded sequence with itself, shifted
-    n = F.size(padded)
-    two = F.zip_with(padded, F.slice(padded, F.lit(2), n), lambda a, b: a * CODES + b)
-    return F.filter(F.zip_with(two, F.slice(padded, F.lit(3), n), lambda ab, c: ab * CODES + c), lambda t: t.isNotNull())
-
-
-def log_probabilities(counts: dict[int, int]) -> list[float]:
-    """Natural logarithms for all 32^3 trigrams, from trigram counts."""
-    sums: list[dict[tuple[int, ...], dict[int, int]]] = [{}, {}, {}]
-    for t, n in counts.items():
-        a, b, c = t // CODES**2, t // CODES % CODES, t % CODES
-        for k, context in enumerate(((), (b,), (a, b))):
-            after = sums[k].setdefault(context, {})
-            after[c] = after.get(c, 0) + n
-
-    def mixed(k: int, context: tuple[int, ...], below: list[float]) -> list[float]:
-        after = sums[k].get(context)
-        if not after:
-            return below
-        total, kinds = sum(after.values()), len(after)
-        return [(after.get(c, 0) + kinds * below[c]) / (total + kinds) for c in range(CODES)]
-
-    out: list[float] = []
-    unigram = mixed(0, (), [1 / CODES] * CODES)
-    bigram = [mixed(1, (b,), unigram) for b in range(CODES)]
-    for a in range(CODES):
-        for b in range(CODES):
-            out += [math.log(p) for p in mixed(2, (a, b), bigram[b])]
-    return out
-
-
-def score(trigrams: Column, ratios: list[float]) -> Column:
-    """The mean of the log ratios; 0 for the empty text."""
-    table = F.from_json(F.lit(json.dumps([round(x, 9) for x in ratios])), "array<double>")
-    total = F.aggregate(trigrams, F.lit(0.0), lambda s, t: s + F.get(table, t))
-    return F.when(F.size(trigrams) > 0, total / F.size(trigrams)).otherwise(F.lit(0.0))
-
-
 def best_threshold(bins: list[tuple[int, bool, int]]) -> float:
     """The bin edge with the best balanced accuracy when scores above it are accepted."""
     good, bad = sum(n for _, a, n in bins if a), sum(n for _, a, n in bins if not a)
@@ -155,35 +96,7 @@ def best_threshold(bins: list[tuple[int, bool, int]]) -> float:
     return best[2]
 
 
-def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (length-normalised log ratio), threshold."""
-    rules = RULES if rules is None else rules
-    host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    labelled = rows.where(F.col("rule").isNotNull()).select(F.col("rule.allow").alias("allow"), "host", "path")
-    held = F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0
-    grams = trigram_codes(F.col("host"), F.col("path"))
-    counted = labelled.where(~held).select("allow", F.explode(grams).alias("t")).groupBy("allow", "t").agg(F.count(F.lit(1)).alias("n")).collect()
-    of = lambda allow: {r["t"]: r["n"] for r in counted if r["allow"] == allow}
-    good, bad = of(True), of(False)
-    ratios = [a - b for a, b in zip(log_probabilities(good), log_probabilities(bad), strict=True)] if good and bad else [0.0] * CODES**3
-    place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((score(grams, ratios) + SPAN) / (2 * SPAN) * BINS)))
-    bins = labelled.where(held).select("allow", place.cast("int").alias("bin")).groupBy("bin", "allow").agg(F.count(F.lit(1)).alias("n")).collect()
-    threshold = best_threshold([(r["bin"], r["allow"], r["n"]) for r in bins])
-    s = score(grams, ratios)
-    rows = rows.select("page_id", "host", "path", "rule", s.alias("score"))
-    accepted = F.coalesce(F.col("rule.allow"), F.col("score") > threshold)
-    return rows.select("page_id", "host", "path", F.col("rule.name").alias("rule"), F.when(accepted, "allow").otherwise("block").alias("verdict"), "score", F.lit(threshold).alias("threshold"))
-
-
-#: symbols before the one that is judged, for ``judge_deep``
-ORDER = 5
-#: the uniform distribution below the empty context is over all code points
-UNIFORM = 1 / 0x110000
-
-
-def deep_grams(host: Column, path: Column) -> Column:
+def grams(host: Column, path: Column) -> Column:
     """Per symbol, the ORDER symbols before it (NUL before the start) and itself; A-Z are lower-cased, all else stays apart."""
     text = F.translate(F.concat(host, path), UPPER, LOWER)
     padded = F.concat(F.lit("\0" * ORDER), text)
@@ -191,11 +104,11 @@ def deep_grams(host: Column, path: Column) -> Column:
     return F.transform(places, lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
 
 
-def deep_ratios(grams: DataFrame) -> DataFrame:
+def log_ratios(counted: DataFrame) -> DataFrame:
     """``gram`` and the log ratio ``r`` of its last symbol, of distinct grams with their counts among accepted (a) and rejected (b) URLs."""
     below = None
     for k in range(ORDER + 1):
-        level = grams.groupBy(F.expr(f"right(gram, {k + 1})").alias("g")).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("c", F.expr(f"left(g, {k})"))
+        level = counted.groupBy(F.expr(f"right(gram, {k + 1})").alias("g")).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("c", F.expr(f"left(g, {k})"))
         after = level.groupBy("c").agg(*[f(x).alias(f"{n}{x}") for x in "ab" for n, f in (("n", F.sum), ("t", lambda x: F.count(F.when(F.col(x) > 0, 1))))])
         rows = level.join(after, "c")
         if below is None:
@@ -207,14 +120,11 @@ def deep_ratios(grams: DataFrame) -> DataFrame:
     return below.select(F.col("s").alias("gram"), F.when(F.col("both"), F.log("pa") - F.log("pb")).otherwise(F.lit(0.0)).alias("r"))
 
 
-def judge_deep(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """The columns of ``judge``, by models with contexts of up to five symbols and every symbol apart.
+def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (length-normalised log ratio), threshold.
 
-    Counts grow with the input: they stay in a table of distinct grams, smoothed level by level by joins on the context
-    and on the shorter gram. Only the calibration histogram comes to the driver. Equal URLs are counted once with their number.
+    The table of grams is smoothed level by level by joins on the context and on the shorter gram. Equal URLs are counted once with their number.
     """
-    from quarrystone.llm.common import checkpointed
-
     rules = RULES if rules is None else rules
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -222,8 +132,8 @@ def judge_deep(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     held = F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0
     urls = checkpointed(urls.withColumn("held", held))
     seen = lambda allow: F.when((F.col("rule.allow") == allow) & ~F.col("held"), F.col("n")).otherwise(F.lit(0))
-    each = urls.select("host", "path", seen(True).alias("a"), seen(False).alias("b"), F.explode(deep_grams(F.col("host"), F.col("path"))).alias("gram"))
-    ratios = checkpointed(deep_ratios(checkpointed(each.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))))
+    each = urls.select("host", "path", seen(True).alias("a"), seen(False).alias("b"), F.explode(grams(F.col("host"), F.col("path"))).alias("gram"))
+    ratios = checkpointed(log_ratios(checkpointed(each.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))))
     means = each.select("host", "path", "gram").join(ratios, "gram").groupBy("host", "path").agg(F.round(F.avg("r"), 9).alias("score"))
     scored = checkpointed(urls.join(means, ["host", "path"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
     place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + SPAN) / (2 * SPAN) * BINS)))

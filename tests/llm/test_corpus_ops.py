@@ -1,8 +1,10 @@
 """The other operators against brute force: SimHash, decontamination, toxicity, WARC audit; then the pipeline's stages."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -262,8 +264,6 @@ def test_toxicity_is_learned_and_held_out(spark):
 
     got = op1_toxicity(spark, d).toPandas()
     assert len(got) == docs.count() and got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.5)).all()
-    import zlib
-
     assert (got["held_out"] == got["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
     both = got.merge(labels.toPandas(), on="doc_id")
     unseen = both[both["held_out"]]
@@ -277,6 +277,74 @@ def test_toxicity_is_learned_and_held_out(spark):
     assert np.allclose(got.sort_values("doc_id")["score"], again.sort_values("doc_id")["score"])
 
 
+def brute_toxicity(rows, labels, model):
+    """Part, lambda, ln K and score of every text by the definitions, with words as strings; checks that the model's logistic curve is the best one."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    keys = lambda w: [(4, w[:4]), (6, w[:6]), (0, w)]
+    seen, tokens = defaultdict(lambda: [0, 0]), [0, 0]
+    for i, text in rows:
+        if i in labels and fold(i) in (1, 2, 3):
+            for w in bytewords.text_words(text):
+                tokens[1 - labels[i]] += 1
+                for key in keys(w):
+                    seen[key][1 - labels[i]] += 1
+    part = tokens[0] / sum(tokens)
+
+    def segments(text):
+        scores = []
+        for w in bytewords.text_words(text):
+            p = part
+            for key in keys(w):
+                t, c = seen[key] if key in seen else (0, 0)
+                p = (t + toxicity.ALPHA * p) / (t + c + toxicity.ALPHA)
+            scores.append(math.log(p / (1 - p)) - math.log(part / (1 - part)) - toxicity.DRIFT)
+        return len(scores), [s for *_, s in brute_maximal(np.array(scores))]
+
+    of = {i: segments(text) for i, text in rows}
+    calibration = [i for i, _ in rows if i in labels and fold(i) == 4]
+    clean = [of[i] for i in calibration if not labels[i]]
+    chance = sorted(s for _, found in clean for s in found)
+    u = chance[math.ceil(0.9 * len(chance)) - 1]
+    over = [s - u for s in chance if s > u]
+    lam = len(over) / sum(over)
+    ln_k = lam * u + math.log(len(over) / sum(n for n, _ in clean))
+
+    def evidence(n, found):
+        total, best = 0.0, -toxicity.FLOOR
+        for r, s in enumerate(sorted(found, reverse=True), 1):
+            x = lam * s - ln_k - math.log(n)
+            total += x
+            if r > 1 and (total <= r or total < best and x < 0):
+                break
+            best = max(best, total - (r - 1) * (math.log(total) if r > 1 else 0) + math.log(math.factorial(r)) + math.log(math.factorial(r - 1)))
+        return math.asinh(best)
+
+    curve = lambda x: 1 / (1 + math.exp(-(model.slope * x + model.shift)))
+    middle = lambda x: (math.floor(x / toxicity.BIN) + 0.5) * toxicity.BIN
+    slope = [(curve(middle(evidence(*of[i]))) - labels[i], middle(evidence(*of[i]))) for i in calibration]
+    assert abs(sum(d * x for d, x in slope) + 1e-3 * model.slope) < 1e-4 and abs(sum(d for d, _ in slope) + 1e-3 * model.shift) < 1e-4
+    return part, lam, ln_k, {i: curve(evidence(*v)) for i, v in of.items()}
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    rng = random.Random(11)
+    plain, vile = [f"plain{i}x" for i in range(60)] + ["the", "of"], [f"vile{i}" for i in range(8)] + ["slurword", "slurwords"]
+    rows, labels = [], {}
+    for i in range(400):
+        toxic = rng.random() < 0.4
+        w = [rng.choice(vile if rng.random() < (0.25 if toxic else 0.03) else plain) for _ in range(rng.randint(5, 40))]
+        rows.append((i, " ".join(w)))
+        if rng.random() < 0.9:
+            labels[i] = int(toxic != (rng.random() < 0.05))
+    rows += [(1000, ""), (1001, "unseen words only"), (1002, "Vile1, VILE2; the-slurwords")]
+    model = toxicity.fit(docs_of(spark, rows), spark.createDataFrame([(i, t) for i, t in labels.items()], "doc_id long, toxic int"))
+    part, lam, ln_k, want = brute_toxicity(rows, labels, model)
+    assert (model.counts.part, model.lam, model.ln_k) == pytest.approx((part, lam, ln_k), rel=1e-9)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs_of(spark, rows), model).collect()}
+    assert got == pytest.approx(want, rel=1e-7, abs=1e-9)
+    assert got[1002] > 0.5 > got[1000]
+
+
 def test_toxicity_edge_cases(spark):
     docs = docs_of(spark, [(i, f"clean words number {i % 7} here") for i in range(40)] + [(100 + i, f"vile nasty slur {i % 5} you") for i in range(40)] + [(900, None), (901, ""), (None, "vile nasty slur you"), (100, "vile nasty slur 0 you")])
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(100 + i, 0, 1) for i in range(40)] + [(None, 1, 1), (3, None, None), (999, 0, 1)], "doc_id long, quality int, toxic int")
