@@ -148,8 +148,8 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text")).withColumn("hash", F.xxhash64("text"))
     limits = _limits(base, buckets)
-    bucket = _bucket_of(limits)
     first = F.struct(F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)).alias("order"), "hash")
+    bucket = _bucket_of(limits, first)
     own = base.select(bucket.alias("bucket"), first.alias("first"), "doc_id", "text", F.lit(True).alias("own"))
     heads = {r["bucket"]: r["first"] for r in own.groupBy("bucket").agg(F.min("first").alias("first")).collect()}
     have = sorted(heads)
@@ -186,23 +186,20 @@ def _limits(base: DataFrame, buckets: int) -> list[tuple]:
     return out
 
 
-def _bucket_of(limits: list[tuple]) -> Column:
-    """The number of limits at or before the row, in the order of ``with_next``, by halving."""
+def _bucket_of(limits: list[tuple], first: Column) -> Column:
+    """The number of limits at or before ``first`` (order, hash), by halving.
 
-    def reached(limit: tuple) -> Column:
-        i, h = limit
-        if i is None:
-            return F.col("doc_id").isNull() if h is None else F.col("doc_id").isNull() & (F.col("hash") >= h)
-        past = F.col("doc_id").isNull() | (F.col("doc_id") < i)
-        return past | (F.col("doc_id") == i) & ((F.col("hash") >= h) if h is not None else F.lit(True))
-
-    def pick(lo: int, hi: int) -> Column:  # limits[:lo] are reached, limits[hi:] are not
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(reached(limits[mid]), pick(mid + 1, hi)).otherwise(pick(lo, mid))
-
-    return pick(0, len(limits))
+    The limits stand in two constant arrays: an expression that grew with them would be planned and compiled for each of them.
+    """
+    if not limits:
+        return F.lit(0)
+    longs = lambda values: F.split(F.lit(",".join(str(max(-(2**63), min(2**63 - 1, x))) for x in values)), ",").cast("array<long>")
+    orders = longs(2**63 - 1 if i is None else -i for i, _ in limits)
+    hashes = longs(-(2**63) if h is None else h for _, h in limits)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(limits).bit_length()))])
+    limit = lambda i: F.struct(F.get(orders, i), F.get(hashes, i))
+    reached = lambda i: (i < len(limits)) & (limit(i) <= first)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(reached(at + step - 1), at + step).otherwise(at))
 
 
 def edit_likeness(docs: DataFrame, buckets: int | None = None) -> DataFrame:

@@ -123,6 +123,20 @@ def test_hot_and_missing_ids_are_spread_and_keep_their_order(spark, buckets):
     assert got == Counter(zip(order, order[1:] + order[:1]))
 
 
+def test_more_buckets_do_not_make_a_larger_expression(spark):
+    rng = random.Random(8)
+    rows = [(i, words(rng, 4)) for i in range(-40, 40)] + [(3, words(rng, 5)) for _ in range(30)] + [(None, words(rng, 5)) for _ in range(30)]
+    frame = docs_of(spark, [(i, t, "s") for i, t in rows])
+    few, many = multiset_hash.with_next(frame, 20), multiset_hash.with_next(frame, 800)
+    cases = [x._jdf.queryExecution().analyzed().toString().count("CASE WHEN") for x in (few, many)]
+    assert cases[0] == cases[1] < 20
+    hashes = {r["text"]: r["h"] for r in frame.selectExpr("text", "xxhash64(text) as h").collect()}
+    order = [t for _, _, t in sorted(((-i if i is not None else 10**9), hashes[t], t) for i, t in rows)]
+    got = many.where("own").collect()
+    assert Counter((r["text"], r["next_text"]) for r in got) == Counter(zip(order, order[1:] + order[:1]))
+    assert len({r["bucket"] for r in got}) > 60
+
+
 # ---------------------------------------------------------------- mixing
 
 
