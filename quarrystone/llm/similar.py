@@ -1,18 +1,27 @@
-"""Near-duplicates by the likeness of their shingles: five words, Jaccard at least 0.8.
+"""Near-duplicates by SimHash: shingles of five words, Jaccard at least 0.8.
 
 *Sets.* Words are those of ``bytewords``; a text's set holds the hashes of its runs
 of five words (with fewer words, of the whole sequence). Texts of one set are one
 node, so exact copies never meet each other. A text without words is like its
-exact copies only.
+exact copies only, and a set of under four hashes like itself only.
 
-*Candidates.* A signature of 128 minima is cut into 32 bands of four; sets that
-share a band are compared. A pair at 0.8 shares none with a chance of
-(1 - 0.8^4)^32, about 5 in 10^8, and less above; that is all that can be missed.
+*Fingerprint.* A bit is 1 if it is 1 in over half of the set's hashes, each of them mixed anew
+for every word of 64 bits. Two sets at 0.8 differ in about 0.151 of the bits or fewer (small sets in up
+to 0.156, four hashes within five in 0.188), so 64 bits cut into blocks that some such pair
+is sure to share would not tell texts apart: the fingerprint has 960 bits for blocks and 256 for a first check.
 
-*Check.* Exact, on the sets. Bands with up to ``FEW`` sets make pairs, larger ones a
-spanning forest of their links, found by searching outwards. A band with more than
-``CROWD`` sets is dealt to all pairs of its blocks: nothing is dropped, but that work
-grows with the square of the blocks.
+*Candidates.* The 960 bits are cut into 80 blocks of twelve; each block and its place are a key. A pair at 0.8
+shares none with a chance of about 6 in 10^6, at 0.85 of 4 in 10^8; that is what can be missed. Sets of up to
+``SMALL`` hashes have twice the blocks. Comparing the sets of a key takes time that grows with the square of the sets: of n sets
+a pair meets by chance in one of 4,096 times, for each block.
+
+*Hamming check.* Sets that share a key and differ in at most ``DISTANCE`` of the other 256 bits, then in at most
+``WHOLE`` of all 1,216, are candidates (``LOOSE`` and ``WHOLE_LOOSE`` between small sets, which have 2,176 bits). The limits lie
+five standard deviations above what sets at 0.8 differ in (4.7 at 0.156): each fails under 3 in 10^6 of them.
+
+*Exact check.* On the sets. Keys with few candidates make pairs; where they are more than ``few`` times the sets
+in them, a spanning forest of their links is found by searching outwards. More than ``crowd`` such sets
+are dealt to all pairs of their blocks: nothing is dropped, but that work grows with the square of the blocks.
 
 *Components.* Links are joined up by ``components``; a group keeps its least row, by
 id (rows without one last), then by a hash of the text.
@@ -32,9 +41,21 @@ from quarrystone.llm.common import checkpointed, ship, text_or_empty
 from quarrystone.llm.components import components
 
 WORDS = 5
-BANDS, ROWS = 32, 4
+#: sets of fewer hashes have no like but themselves; sets of up to SMALL hashes have further blocks
+LEAST, SMALL = 4, 7
+#: words of 64 bits: for the Hamming check, and for the blocks
+CHECK, WIDTH = 4, 15
+BITS = 12
+BLOCKS = 64 * WIDTH // BITS
+DISTANCE, LOOSE = 67, 80
+WHOLE, WHOLE_LOOSE = 250, 500
 FEW, CROWD = 8, 2048
-_ODD = bytewords.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: groups up to this size are compared together; of larger ones so many pairs at a time
+NARROW, ROUND = 256, 1 << 17
+_ODD = bytewords.mix(np.arange(1, CHECK + 2 * WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: columns of the words of the first Hamming check
+CHECKED = [f"w{i}" for i in range(CHECK)]
+_ONES = np.uint64(0x0101010101010101)
 
 ship(__name__)
 
@@ -59,28 +80,146 @@ def _set_keys(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
     return bytewords.mix(np.add.reduceat(bytewords.mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts) + sizes.astype(np.uint64))
 
 
+def _prints(hashes: np.ndarray, sizes: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """SimHash fingerprints, a word of 64 bits for each of ``odd``, of sets that lie in ``hashes`` one behind the other."""
+    # bits are counted in bytes, so by 255 hashes at most
+    parts = -(-sizes // 255)
+    first = np.r_[0, np.cumsum(parts)[:-1]]
+    starts = np.repeat(np.r_[0, np.cumsum(sizes)[:-1]] - 255 * first, parts) + 255 * np.arange(parts.sum())
+    out = np.empty((len(sizes), len(odd)), dtype=np.uint64)
+    counts = np.empty((len(starts), 8), dtype=np.uint64)
+    for w, o in enumerate(odd):
+        h = bytewords.mix(hashes * o)
+        for k in range(8):
+            counts[:, k] = np.add.reduceat((h >> np.uint64(k)) & _ONES, starts)
+        ones = counts.view(np.uint8).reshape(-1, 8, 8)  # byte j of count k is of bit k + 8 j
+        if len(starts) > len(sizes):
+            ones = np.add.reduceat(ones.astype(np.int32), first, axis=0)
+        most = ones > (sizes // 2)[:, None, None]
+        out[:, w] = np.packbits(most.transpose(0, 2, 1), axis=2, bitorder="little").reshape(-1, 8).view(np.uint64)[:, 0]
+    return out
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, th, text) to (id, th, s, bands)."""
+    """(id, th, text) to (id, th, s, print); the fingerprint of a set that can have no like is empty."""
     for batch in batches:
         s = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).copy()
-        bands = np.zeros((len(s), BANDS), dtype=np.uint64)
-        worded = np.zeros(len(s), dtype=bool)
+        lengths, flat = np.zeros(len(s), dtype=np.int64), []
         for first, hashes, bounds in _sets(batch.column(2)):
             full = np.flatnonzero(np.diff(bounds))
             if not len(full):
                 continue
-            starts, at = bounds[full], first + full
-            worded[at] = True
-            s[at] = _set_keys(hashes, starts, np.diff(bounds)[full])
-            for b in range(BANDS):
-                key = np.full(len(full), b, dtype=np.uint64)
-                for r in range(ROWS):
-                    key = bytewords.mix(key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(hashes * _ODD[b * ROWS + r], starts))
-                bands[at, b] = key
-        flat = bands[worded].reshape(-1).view(np.int64)
-        offsets = np.r_[0, np.cumsum(worded * BANDS)].astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.view(np.int64)), lists], names=["id", "th", "s", "bands"])
+            at, sizes = first + full, np.diff(bounds)[full]
+            s[at] = _set_keys(hashes, bounds[full], sizes)
+            prints = np.zeros((len(full), len(_ODD)), dtype=np.uint64)
+            wide = np.where(sizes < LEAST, 0, np.where(sizes <= SMALL, len(_ODD), CHECK + WIDTH))
+            for mask, words in ((wide > 0, slice(0, CHECK + WIDTH)), (wide == len(_ODD), slice(CHECK + WIDTH, None))):
+                if mask.any():
+                    prints[mask, words] = _prints(hashes[np.repeat(mask, sizes)], sizes[mask], _ODD[words])
+            lengths[at] = wide
+            flat.append(prints[np.arange(len(_ODD)) < wide[:, None]])
+        values = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.view(np.int64)), lists], names=["id", "th", "s", "print"])
+
+
+def _keys_of(words: np.ndarray) -> np.ndarray:
+    """The keys of the blocks of ``WIDTH`` words of each of several fingerprints."""
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+    halves = (bits.reshape(len(words), BLOCKS, 2, BITS // 2) @ (1 << np.arange(BITS // 2)).astype(np.uint8)).astype(np.int32)
+    return halves[:, :, 0] | halves[:, :, 1] << BITS // 2 | np.arange(BLOCKS, dtype=np.int32) << BITS
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, print) to (s, the words of the first Hamming check, keys)."""
+    for batch in batches:
+        values = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)
+        for length in np.unique(lengths):
+            own = np.flatnonzero(lengths == length)
+            prints = values[starts[own][:, None] + np.arange(length)]
+            keys = [_keys_of(prints[:, i : i + WIDTH]) + (n * BLOCKS << BITS) for n, i in enumerate(range(CHECK, length, WIDTH))]
+            keys = np.concatenate(keys, axis=1).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
+            check = [pa.array(np.ascontiguousarray(prints[:, i]).view(np.int64)) for i in range(CHECK)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), *check, lists], names=["s", *CHECKED, "keys"])
+
+
+def _candidates(few: int):
+    """A function of batches of (key, s, the words of the first Hamming check), sorted by key, to (key, u, v, n): pairs that pass it.
+
+    Where a key has more than ``few`` times as many pairs as sets, it gives the sets u instead, with no v, and their number n.
+    """
+
+    def found(key: np.ndarray, s: np.ndarray, *signed: np.ndarray) -> pa.RecordBatch:
+        words = [w.view(np.uint64) for w in signed]  # of signed numbers the bits of the magnitude would be counted
+
+        def close(i: np.ndarray, j: np.ndarray, most: np.ndarray | int) -> np.ndarray:
+            return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.uint16) for w in words) <= most
+
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        group = np.repeat(np.arange(len(start)), size)
+        most = np.where(key < BLOCKS << BITS, DISTANCE, LOOSE)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        active = np.flatnonzero((size <= NARROW)[group])
+        for d in range(1, NARROW):  # each with its d-th successor in the group
+            active = active[active + d < len(key)]
+            active = active[group[active + d] == group[active]]
+            if not len(active):
+                break
+            near = active[close(active, active + d, most[active])]
+            us.append(near)
+            vs.append(near + d)
+        u, v = np.concatenate(us), np.concatenate(vs)
+        crowded = (np.bincount(group[u], minlength=len(size)) > few * size)[group[u]]
+        us, vs, ends = [u[~crowded]], [v[~crowded]], [np.unique(np.r_[u[crowded], v[crowded]])]
+        for g in np.flatnonzero(size > NARROW):
+            own, i, few_pairs, n = np.arange(start[g], start[g] + size[g]), 0, few * size[g], 0
+            step, pairs = max(1, ROUND // int(size[g])), []
+            while i < len(own) and n <= few_pairs:
+                x, y = own[i : i + step, None], own[None, i:]
+                x, y = np.nonzero(close(x, y, most[own[i]]) & (x < y))
+                pairs.append((own[i + x], own[i + y]))
+                n += len(x)
+                i += step
+            first, second = (np.concatenate(z) for z in zip(*pairs, strict=True))
+            if n <= few_pairs:
+                us.append(first)
+                vs.append(second)
+                continue
+            # pairs are too many: only which sets have any
+            hit = np.zeros(len(own), dtype=bool)
+            hit[np.r_[first, second] - start[g]] = True
+            for x in np.flatnonzero(~hit):
+                near = close(own[x], own, most[own[x]])
+                hit |= near & (near.sum() > 1)
+            ends.append(own[hit])
+        u, v, ends = np.concatenate(us), np.concatenate(vs), np.concatenate(ends)
+        number = np.bincount(group[ends], minlength=len(size))[group[ends]]
+        none = pa.nulls(len(ends), pa.int64())
+        columns = [
+            pa.array(np.r_[key[u], key[ends]], pa.int32()), pa.array(np.r_[s[u], s[ends]], pa.int64()),
+            pa.concat_arrays([pa.array(s[v], pa.int64()), none]), pa.array(np.r_[np.full(len(u), 2), number], pa.int32()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "u", "v", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            now = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            if held:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            last = np.flatnonzero(now[0] != now[0][-1]) if len(now[0]) else ()
+            cut = int(last[-1]) + 1 if len(last) else 0
+            held = [x[cut:] for x in now]
+            if cut:
+                yield found(*[x[:cut] for x in now])
+        if held and len(held[0]):
+            yield found(*held)
+
+    return run
 
 
 def _text_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +234,7 @@ def _text_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(table: pa.Table) -> pa.Table:
-    """A spanning forest of the links among the sets (key, sub, s, hs) of one band."""
+    """A spanning forest of the links among the sets (key, sub, s, hs) of one key."""
     table = table.combine_chunks()
     s, lists = table.column("s").to_numpy(), table.column("hs").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -123,21 +262,27 @@ def _forest(table: pa.Table) -> pa.Table:
 def least_rows(rows: DataFrame, few: int = FEW, crowd: int = CROWD) -> DataFrame:
     """``id`` and ``th`` of the least row of each group of near-duplicates, of rows (id, th, text); th is a hash of the text."""
     rows = rows.select("id", "th", text_or_empty(F.col("text")).alias("text"))
-    sketches = rows.mapInArrow(_sketches, "id long, th long, s long, bands array<long>")
-    sets = checkpointed(sketches.groupBy("s").agg(F.min(F.struct("id", "th")).alias("least"), F.first("bands").alias("bands")))
-    keyed = sets.select("s", F.col("least.th").alias("th"), F.explode("bands").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    members = checkpointed(keyed.join(counts, "key"))
-    texts = rows.select("th", "text").join(members.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
+    sketches = rows.mapInArrow(_sketches, "id long, th long, s long, print array<long>")
+    sets = checkpointed(sketches.groupBy("s").agg(F.min(F.struct("id", "th")).alias("least"), F.first("print").alias("print")))
+    keyed = sets.where(F.size("print") > 0).select("s", "print").mapInArrow(_keyed, f"s long, {', '.join(f'{c} long' for c in CHECKED)}, keys array<int>")
+    spread = keyed.select(F.explode("keys").alias("key"), "s", *CHECKED).repartition("key").sortWithinPartitions("key")
+    found = checkpointed(spread.mapInArrow(_candidates(few), "key int, u long, v long, n int"))
+    pairs = found.where(F.col("v").isNotNull()).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    printed = pairs.join(sets.select(F.col("s").alias("u"), F.col("print").alias("a")), "u").join(sets.select(F.col("s").alias("v"), F.col("print").alias("b")), "v")
+    words = F.least(F.size("a"), F.size("b"))
+    bits = F.aggregate(F.zip_with(F.slice("a", 1, words), F.slice("b", 1, words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = checkpointed(printed.where(bits <= F.when(words > CHECK + WIDTH, WHOLE_LOOSE).otherwise(WHOLE)).select("u", "v"))
+    dense = found.where(F.col("v").isNull()).select("key", F.col("u").alias("s"), "n")
+    members = pairs.select(F.explode(F.array("u", "v")).alias("s")).unionAll(dense.select("s")).distinct()
+    named = sets.join(members, "s", "left_semi").select(F.col("least.th").alias("th"))
+    texts = rows.select("th", "text").join(named, "th", "left_semi").dropDuplicates(["th"])
     held = checkpointed(texts.select("text").mapInArrow(_text_sets, "s long, hs array<long>"))
-    small = members.where(F.col("n") <= few)
-    pairs = small.select("key", F.col("s").alias("u")).join(small.select("key", F.col("s").alias("v")), "key").where(F.col("u") < F.col("v")).select("u", "v").distinct()
     both = pairs.join(held.select(F.col("s").alias("u"), F.col("hs").alias("a")), "u").join(held.select(F.col("s").alias("v"), F.col("hs").alias("b")), "v")
     near = both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
     blocks = F.ceil(F.col("n") / crowd)
     own = F.pmod(F.xxhash64("s"), blocks)
     sub = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j))
-    dealt = members.where(F.col("n") > few).select("key", "s", F.explode(sub).alias("sub"))
+    dealt = dense.select("key", "s", F.explode(sub).alias("sub"))
     forest = dealt.join(held, "s").groupBy("key", "sub").applyInArrow(_forest, "u long, v long")
     roots = components(near.unionAll(forest))
     named = sets.join(roots, sets["s"] == roots["node"], "left").select(F.coalesce("root", "s").alias("component"), "least")

@@ -503,6 +503,61 @@ def test_the_pipeline_drops_what_is_alike_by_five_words(spark):
     assert got == Counter([(100 + i, texts[i]) for i, _ in want] + [extra[0], *extra[2:6]])
 
 
+def test_the_stage_finds_its_candidates_by_simhash():
+    import numpy as np
+    import pyarrow as pa
+
+    from quarrystone.llm import similar as s
+
+    rng = np.random.default_rng(5)
+    draw = lambda *n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    # the fingerprint by its definition: a bit is 1 if over half the hashes have it
+    sets = [draw(n) for n in (4, 5, 255, 256, 700)]
+    prints = s._prints(np.concatenate(sets), np.array([len(x) for x in sets]), s._ODD[:3])
+    for x, own in zip(sets, prints, strict=True):
+        for odd, word in zip(s._ODD, own, strict=False):
+            ones = (bytewords.mix(x * odd)[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).sum(axis=0)
+            assert [int(word) >> k & 1 for k in range(64)] == [int(2 * n > len(x)) for n in ones.tolist()]
+    # its blocks are the keys
+    words = draw(3, s.WIDTH)
+    for own, keys in zip(words.tolist(), s._keys_of(words).tolist(), strict=True):
+        bits = sum(w << 64 * i for i, w in enumerate(own))
+        assert keys == [(bits >> s.BITS * b) % 2**s.BITS + (b << s.BITS) for b in range(s.BLOCKS)]
+    # pairs at 0.8 share one and pass the Hamming check
+    for n, m, common in ((4, 5, 4), (9, 9, 8), (90, 90, 80), (100, 80, 80)):
+        both = draw(2000, common)
+        odd = s._ODD if m <= s.SMALL else s._ODD[: s.CHECK + s.WIDTH]
+        a, b = (s._prints(np.concatenate([both, draw(2000, k - common)], axis=1).reshape(-1), np.full(2000, k), odd) for k in (n, m))
+        differ = np.bitwise_count(a[:, : s.CHECK] ^ b[:, : s.CHECK]).sum(axis=1)
+        assert (np.bitwise_count(a ^ b).sum(axis=1) <= (s.WHOLE if m > s.SMALL else s.WHOLE_LOOSE)).all()
+        met = np.zeros(2000, dtype=bool)
+        for at in range(s.CHECK, len(odd), s.WIDTH):
+            met |= (s._keys_of(a[:, at : at + s.WIDTH]) == s._keys_of(b[:, at : at + s.WIDTH])).any(axis=1) & (differ <= (s.DISTANCE if at == s.CHECK else s.LOOSE))
+        assert met.all()
+    # the Hamming check within narrow and wide groups that go over batches, as pairs or, where they are many, as sets
+    key = np.sort(np.r_[rng.integers(0, 40, 200), np.full(600, 41), np.full(100, s.BLOCKS << s.BITS)]).astype(np.int32)
+    stem, fresh = draw(10, s.CHECK)[rng.integers(0, 10, 900)], rng.random(900) < 0.6
+    stem[fresh] = draw(int(fresh.sum()), s.CHECK)
+    for _ in range(11):
+        stem ^= np.uint64(1) << rng.integers(0, 64, stem.shape).astype(np.uint64)
+    name = rng.permutation(900)
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(name), *[pa.array(stem[:, c].copy().view(np.int64)) for c in range(s.CHECK)]], names=["key", "s", *s.CHECKED])
+    forms = set()
+    for few in (0, 1, 8, 1000):
+        want = []
+        for k in set(key.tolist()):
+            own = np.flatnonzero(key == k)
+            near = np.bitwise_count(stem[own, None] ^ stem[None, own]).sum(axis=2) <= (s.LOOSE if k >= s.BLOCKS << s.BITS else s.DISTANCE)
+            u, v = np.nonzero(np.triu(near, 1))
+            ends = np.union1d(u, v)
+            forms.add((len(own) > s.NARROW, len(u) > few * len(own)))
+            want += [(k, {name[own[i]]}, len(ends)) for i in ends] if len(u) > few * len(own) else [(k, {name[own[i]], name[own[j]]}, 2) for i, j in zip(u, v, strict=True)]
+        got = [r for x in s._candidates(few)(rows.slice(i, 250) for i in range(0, 900, 250)) for r in x.to_pylist()]
+        order = lambda x: (x[0], sorted(x[1]))
+        assert sorted([(r["key"], {r["u"], r["v"]} - {None}, r["n"]) for r in got], key=order) == sorted(want, key=order)
+    assert len(forms) == 4
+
+
 def test_pipeline_runs_its_stages_in_order(spark):
     import corpus_pipeline
 
