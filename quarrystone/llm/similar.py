@@ -19,9 +19,10 @@ a pair meets by chance in one of 4,096 times, for each block.
 ``WHOLE`` of all 1,216, are candidates (``LOOSE`` and ``WHOLE_LOOSE`` between small sets, which have 2,176 bits). The limits lie
 five standard deviations above what sets at 0.8 differ in (4.7 at 0.156): each fails under 3 in 10^6 of them.
 
-*Exact check.* On the sets. Keys with few candidates make pairs; where they are more than ``few`` times the sets
-in them, a spanning forest of their links is found by searching outwards. More than ``crowd`` such sets
-are dealt to all pairs of their blocks: nothing is dropped, but that work grows with the square of the blocks.
+*Exact check.* On the sets. One with at most 2 ``few`` candidates, in all its keys together, makes a pair with each, so
+pairs grow with the sets and not with the square of a group. Between two sets that have more there are no pairs: such sets that
+candidates connect are a cluster, and a spanning forest of its links is found by searching outwards from each set, candidates or not. More than
+``crowd`` of them are dealt to all pairs of their blocks: nothing is dropped, but that work grows with the square of the blocks.
 
 *Components.* Links are joined up by ``components``; a group keeps its least row, by
 id (rows without one last), then by a hash of the text.
@@ -146,10 +147,22 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), *check, lists], names=["s", *CHECKED, "keys"])
 
 
+def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least one that it reaches over the links u-v."""
+    label = np.arange(n)
+    while (label[u] != label[v]).any():
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, np.r_[label[u], label[v]], np.r_[low, low])
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
 def _candidates(few: int):
-    """A function of batches of (key, s, the words of the first Hamming check), sorted by key, to (key, u, v, n): pairs that pass it.
+    """A function of batches of (key, s, the words of the first Hamming check), sorted by key, to (key, u, v, n, m): pairs that pass it.
 
-    Where a key has more than ``few`` times as many pairs as sets, it gives the sets u instead, with no v, and their number n.
+    Where a key has more than ``few`` times as many pairs as sets, it gives the sets u instead, with no v, their number n
+    and in m the least set that pairs of the key connect with u.
     """
 
     def found(key: np.ndarray, s: np.ndarray, *signed: np.ndarray) -> pa.RecordBatch:
@@ -175,6 +188,7 @@ def _candidates(few: int):
         u, v = np.concatenate(us), np.concatenate(vs)
         crowded = (np.bincount(group[u], minlength=len(size)) > few * size)[group[u]]
         us, vs, ends = [u[~crowded]], [v[~crowded]], [np.unique(np.r_[u[crowded], v[crowded]])]
+        label = _labels(len(key), u[crowded], v[crowded])
         for g in np.flatnonzero(size > NARROW):
             own, i, few_pairs, n = np.arange(start[g], start[g] + size[g]), 0, few * size[g], 0
             step, pairs = max(1, ROUND // int(size[g])), []
@@ -189,21 +203,28 @@ def _candidates(few: int):
                 us.append(first)
                 vs.append(second)
                 continue
-            # pairs are too many: only which sets have any
-            hit = np.zeros(len(own), dtype=bool)
-            hit[np.r_[first, second] - start[g]] = True
-            for x in np.flatnonzero(~hit):
-                near = close(own[x], own, most[own[x]])
-                hit |= near & (near.sum() > 1)
-            ends.append(own[hit])
+            # pairs are too many: only what they connect
+            left = own
+            while len(left):
+                root, todo, left = left[0], [left[0]], left[1:]
+                while todo and len(left):
+                    at = todo.pop()
+                    near = close(at, left, most[at])
+                    label[left[near]] = root
+                    todo += left[near].tolist()
+                    left = left[~near]
+            ends.append(own[(np.bincount(label[own] - start[g]) > 1)[label[own] - start[g]]])
         u, v, ends = np.concatenate(us), np.concatenate(vs), np.concatenate(ends)
         number = np.bincount(group[ends], minlength=len(size))[group[ends]]
+        least = s.copy()
+        np.minimum.at(least, label[ends], s[ends])
         none = pa.nulls(len(ends), pa.int64())
         columns = [
             pa.array(np.r_[key[u], key[ends]], pa.int32()), pa.array(np.r_[s[u], s[ends]], pa.int64()),
             pa.concat_arrays([pa.array(s[v], pa.int64()), none]), pa.array(np.r_[np.full(len(u), 2), number], pa.int32()),
+            pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(least[label[ends]], pa.int64())]),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "u", "v", "n"])
+        return pa.RecordBatch.from_arrays(columns, names=["key", "u", "v", "n", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -222,6 +243,34 @@ def _candidates(few: int):
     return run
 
 
+def _listed(few: int):
+    """A function as ``_candidates``, to (s, m, vs): for each key and set its candidates, none listed if over 2 ``few`` or not known as pairs, and the least set that they connect with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _candidates(few)(batches):
+            paired = found.filter(found.column("v").is_valid())
+            crowded = found.filter(found.column("v").is_null())
+            key, u, v = (paired.column(c).to_numpy(zero_copy_only=False) for c in ("key", "u", "v"))
+            order = np.lexsort((np.r_[u, v], np.r_[key, key]))
+            key, s, other = np.r_[key, key][order], np.r_[u, v][order], np.r_[v, u][order]
+            new = np.r_[True, (key[1:] != key[:-1]) | (s[1:] != s[:-1])] if len(s) else np.zeros(0, dtype=bool)
+            # each pair is there from either end, so its ends' numbers lie in the places order takes them from
+            node = np.empty(len(s), dtype=np.int64)
+            node[order] = np.cumsum(new) - 1
+            start = np.flatnonzero(new)
+            degree = np.diff(np.r_[start, len(s)])
+            label = _labels(len(start), node[: len(u)], node[len(u) :])
+            short = degree <= 2 * few
+            bounds = np.r_[0, np.cumsum(np.where(short, degree, 0))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, mask=np.r_[~short, False]), pa.array(other[np.repeat(short, degree)]))
+            lists = pa.concat_arrays([lists, pa.nulls(len(crowded), lists.type)])
+            names = pa.array(np.r_[s[start], crowded.column("u").to_numpy()])
+            reps = pa.array(np.r_[s[start][label], crowded.column("m").to_numpy(zero_copy_only=False).astype(np.int64)])
+            yield pa.RecordBatch.from_arrays([names, reps, lists], names=["s", "m", "vs"])
+
+    return run
+
+
 def _text_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to (s, hs), for texts with words."""
     for batch in batches:
@@ -234,7 +283,7 @@ def _text_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(table: pa.Table) -> pa.Table:
-    """A spanning forest of the links among the sets (key, sub, s, hs) of one key."""
+    """A spanning forest of the links among the sets (cluster, sub, s, hs) of one cluster, or of two of its blocks."""
     table = table.combine_chunks()
     s, lists = table.column("s").to_numpy(), table.column("hs").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -266,24 +315,29 @@ def least_rows(rows: DataFrame, few: int = FEW, crowd: int = CROWD) -> DataFrame
     sets = checkpointed(sketches.groupBy("s").agg(F.min(F.struct("id", "th")).alias("least"), F.first("print").alias("print")))
     keyed = sets.where(F.size("print") > 0).select("s", "print").mapInArrow(_keyed, f"s long, {', '.join(f'{c} long' for c in CHECKED)}, keys array<int>")
     spread = keyed.select(F.explode("keys").alias("key"), "s", *CHECKED).repartition("key").sortWithinPartitions("key")
-    found = checkpointed(spread.mapInArrow(_candidates(few), "key int, u long, v long, n int"))
-    pairs = found.where(F.col("v").isNotNull()).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    found = spread.mapInArrow(_listed(few), "s long, m long, vs array<long>").groupBy("s").agg(F.array_distinct(F.flatten(F.collect_list("vs"))).alias("vs"), F.max(F.col("vs").isNull()).alias("unlisted"), F.collect_set("m").alias("ms"))
+    found = checkpointed(found.select("s", "vs", "ms", (F.col("unlisted") | (F.size("vs") > 2 * few)).alias("many")))
+    pairs = found.where(~F.col("many")).select("s", F.explode("vs").alias("v")).select(F.least("s", "v").alias("u"), F.greatest("s", "v").alias("v")).distinct()
     printed = pairs.join(sets.select(F.col("s").alias("u"), F.col("print").alias("a")), "u").join(sets.select(F.col("s").alias("v"), F.col("print").alias("b")), "v")
     words = F.least(F.size("a"), F.size("b"))
     bits = F.aggregate(F.zip_with(F.slice("a", 1, words), F.slice("b", 1, words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     pairs = checkpointed(printed.where(bits <= F.when(words > CHECK + WIDTH, WHOLE_LOOSE).otherwise(WHOLE)).select("u", "v"))
-    dense = found.where(F.col("v").isNull()).select("key", F.col("u").alias("s"), "n")
+    dense = found.where("many")
+    # a set's links all go to the least one, so that those between the m are few, whatever the number of sets
+    clusters = components(dense.select(F.explode(F.array_union("ms", F.array("s"))).alias("u"), F.array_min("ms").alias("v")))
+    dense = checkpointed(dense.join(clusters, dense["s"] == clusters["node"], "left").select("s", F.coalesce("root", "s").alias("cluster")))
     members = pairs.select(F.explode(F.array("u", "v")).alias("s")).unionAll(dense.select("s")).distinct()
     named = sets.join(members, "s", "left_semi").select(F.col("least.th").alias("th"))
     texts = rows.select("th", "text").join(named, "th", "left_semi").dropDuplicates(["th"])
     held = checkpointed(texts.select("text").mapInArrow(_text_sets, "s long, hs array<long>"))
     both = pairs.join(held.select(F.col("s").alias("u"), F.col("hs").alias("a")), "u").join(held.select(F.col("s").alias("v"), F.col("hs").alias("b")), "v")
     near = both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+    dense = dense.join(dense.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster")
     blocks = F.ceil(F.col("n") / crowd)
     own = F.pmod(F.xxhash64("s"), blocks)
     sub = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j))
-    dealt = dense.select("key", "s", F.explode(sub).alias("sub"))
-    forest = dealt.join(held, "s").groupBy("key", "sub").applyInArrow(_forest, "u long, v long")
+    dealt = dense.select("cluster", "s", F.explode(sub).alias("sub"))
+    forest = dealt.join(held, "s").groupBy("cluster", "sub").applyInArrow(_forest, "u long, v long")
     roots = components(near.unionAll(forest))
     named = sets.join(roots, sets["s"] == roots["node"], "left").select(F.coalesce("root", "s").alias("component"), "least")
     return named.groupBy("component").agg(F.min("least").alias("least")).select("least.*")

@@ -558,6 +558,65 @@ def test_the_stage_finds_its_candidates_by_simhash():
     assert len(forms) == 4
 
 
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    from quarrystone.llm import similar
+
+    rng, counts = random.Random(17), []
+    whole = similar.checkpointed
+
+    def counted(frame):
+        out = whole(frame)
+        if out.columns == ["u", "v"]:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "checkpointed", counted)
+    base, texts = prose(rng, 200, 5000).split(), [prose(rng, 60, 5000) for _ in range(20)]
+    for _ in range(300):  # many alike by less than 0.8, so that most candidates are no links
+        copy = list(base)
+        for _ in range(rng.randint(1, 7)):
+            copy[rng.randrange(len(copy))] = f"changed{rng.randrange(9999)}"
+        texts.append(" ".join(copy))
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "xxhash64(text) as th", "text")
+    rows = [tuple(r) for r in frame.collect()]
+    assert {tuple(r) for r in similar.least_rows(frame, 8, 100).collect()} == brute_least_rows(rows)
+    assert counts and max(counts) <= 16 * len(texts)
+
+
+def test_each_candidate_is_listed_or_in_the_cluster():
+    import pyarrow as pa
+
+    from quarrystone.llm import similar as s
+
+    rng = np.random.default_rng(11)
+    draw = lambda *n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    # sets of twelve stems and lone ones, all in several keys, of which two are wide
+    stem = np.r_[draw(12, s.CHECK)[rng.integers(0, 12, 500)], draw(100, s.CHECK)]
+    for _ in range(14):
+        stem ^= np.uint64(1) << rng.integers(0, 64, stem.shape).astype(np.uint64)
+    name, keys = rng.permutation(600), [np.sort(rng.choice(600, n, replace=False)) for n in (*[12] * 40, 60, 300, 599)]
+    key, own = np.repeat(np.arange(len(keys)), [len(k) for k in keys]).astype(np.int32), np.concatenate(keys)
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(name[own]), *[pa.array(stem[own, c].copy().view(np.int64)) for c in range(s.CHECK)]], names=["key", "s", *s.CHECKED])
+    near = np.bitwise_count(stem[:, None] ^ stem[None]).sum(axis=2) <= s.DISTANCE
+    want = {(int(name[a]), int(name[b])) for k in keys for a in k for b in k if a != b and near[a, b]}
+    for few in (0, 1, 4, 1000):
+        listed, many, links = defaultdict(set), set(), []
+        for r in (r for x in s._listed(few)(rows.slice(i, 200) for i in range(0, len(key), 200)) for r in x.to_pylist()):
+            links.append((r["s"], r["m"]))
+            if r["vs"] is None:
+                many.add(r["s"])
+            else:
+                assert 0 < len(r["vs"]) <= 2 * few
+                listed[r["s"]].update(r["vs"])
+        many |= {x for x, vs in listed.items() if len(vs) > 2 * few}
+        ends = np.array([(x, m) for x, m in links if x in many] or [(0, 0)])
+        label = s._labels(600, ends[:, 0], ends[:, 1])
+        assert {(x, y) for x, vs in listed.items() for y in vs} <= want
+        assert all(y in listed[x] for x, y in want if x not in many)
+        assert all(label[x] == label[y] for x, y in want if x in many and y in many)
+        assert {x for x, _ in links} == {x for x, _ in want}
+
+
 def test_pipeline_runs_its_stages_in_order(spark):
     import corpus_pipeline
 
