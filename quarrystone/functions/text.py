@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: what a token is.
-TOKEN = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
+TOKEN = r"[a-z0-9]++(?:\.[a-z0-9]++)*+"
 # The five families of references.
 REFERENCE = (
     r"\b\d{2}\s?\d{2}\s?\d{2}(?:\.\d+)?\b|§\s?[0-9A-Z][0-9A-Z.\-]*"

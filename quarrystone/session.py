@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage as ``checkpointed`` does, by Parquet below ``checkpoint_folder``: rows are made once, later reads take the columns they need.
+
+    The folder is deleted when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    path = posixpath.join(checkpoint_folder(spark), f"stored-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a written folder, in whatever store it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
