@@ -40,43 +40,62 @@ def edges(canvases: DataFrame) -> DataFrame:
     return rows.withColumn("fromEnd", F.coalesce("fromEnd", F.lit("none"))).withColumn("toEnd", F.coalesce("toEnd", F.lit("arrow")))
 
 
+def _held(canvases: DataFrame) -> DataFrame:
+    """canvas, v (null for what isn't JSON), nodes and edges as arrays, empty where there are none."""
+    p = _parsed(canvases)
+    none = lambda kind: F.array().cast(f"array<struct<{kind}>>")
+    return p.select("canvas", F.col("v").isNotNull().alias("v"), F.coalesce("c.nodes", none(NODE)).alias("nodes"), F.coalesce("c.edges", none(EDGE)).alias("edges"))
+
+
 def violations(canvases: DataFrame) -> DataFrame:
-    """canvas, rule (1 to 8), id, what: everything that breaks a rule; valid canvases have no row."""
-    n, e = nodes(canvases), edges(canvases)
-
-    def found(df: DataFrame, rule: int, when: Column, what: Column | str) -> DataFrame:
-        return df.where(F.coalesce(when, F.lit(False))).select("canvas", F.lit(rule).alias("rule"), "id", (F.lit(what) if isinstance(what, str) else what).alias("what"))
-
-    ids = n.select("canvas", "id").unionAll(e.select("canvas", "id"))
-    twice = ids.where(F.col("id").isNotNull()).groupBy("canvas", "id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    ends = e.select("canvas", "id", F.explode(F.array(F.struct(F.lit("fromNode").alias("end"), F.col("fromNode").alias("node")), F.struct(F.lit("toNode").alias("end"), F.col("toNode").alias("node")))).alias("x")).select("canvas", "id", "x.*")
-    dangling = ends.join(n.select("canvas", F.col("id").alias("node")).where(F.col("node").isNotNull()).distinct(), ["canvas", "node"], "left_anti")
-    lacks = F.lit(None).cast("string")
-    for kind, field in REQUIRED.items():
-        lacks = F.when((F.col("type") == kind) & F.col(field).isNull(), F.lit(field)).otherwise(lacks)
-    for field in ["id", "type", *PLACED]:
-        lacks = F.when(F.col(field).isNull(), F.lit(field)).otherwise(lacks)
-    wrong = lambda c, known: F.col(c).isNotNull() & ~F.col(c).isin(known)
-    color = lambda df: found(df, 7, F.col("color").isNotNull() & ~F.col("color").rlike(COLOR), F.concat(F.lit("color "), "color"))
-    sides = [found(e, 5, wrong(c, SIDES), F.concat(F.lit(f"{c} "), c)) for c in ("fromSide", "toSide")]
-    tips = [found(e, 6, wrong(c, ENDS), F.concat(F.lit(f"{c} "), c)) for c in ("fromEnd", "toEnd")]
-    bad_json = _parsed(canvases).where(F.col("v").isNull()).select("canvas", F.lit(8).alias("rule"), F.lit(None).cast("string").alias("id"), F.lit("not valid JSON").alias("what"))
+    """canvas, rule (1 to 8), id, what: everything that breaks a rule; valid canvases have no row.
+
+    Every rule is about one canvas, a row: it is parsed once and checked where it is.
+    """
+
+    def row(rule: int, id_: Column, what: Column | str) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), id_.cast("string").alias("id"), (F.lit(what) if isinstance(what, str) else what).cast("string").alias("what"))
+
+    def found(of: str, rule: int, when, what) -> Column:
+        return F.transform(F.filter(of, lambda x: F.coalesce(when(x), F.lit(False))), lambda x: row(rule, x["id"], what(x)))
+
+    def lacks(x: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for kind, field in REQUIRED.items():
+            out = F.when((x["type"] == kind) & x[field].isNull(), F.lit(field)).otherwise(out)
+        for field in ["id", "type", *PLACED]:
+            out = F.when(x[field].isNull(), F.lit(field)).otherwise(out)
+        return out
+
+    def known(of: str, rule: int, field: str, values: list[str]) -> Column:
+        return found(of, rule, lambda x: x[field].isNotNull() & ~x[field].isin(values), lambda x: F.concat(F.lit(f"{field} "), x[field]))
+
+    def dangling(end: str) -> Column:
+        # array_except works by hashing: what is left are the names of no node, rarely any
+        return found("edges", 2, lambda x: x[end].isNull() | F.array_contains("__gone", x[end]), lambda x: F.lit(f"{end} names no node"))
+
+    color = lambda of: found(of, 7, lambda x: x["color"].isNotNull() & ~x["color"].rlike(COLOR), lambda x: F.concat(F.lit("color "), x["color"]))
+    ids = F.array_sort(F.filter(F.concat(F.col("nodes.id"), F.col("edges.id")), lambda x: x.isNotNull()))
+    rows = _held(canvases).withColumn("__gone", F.array_except(F.concat(F.col("edges.fromNode"), F.col("edges.toNode")), F.col("nodes.id"))).withColumn("__ids", ids)
+    twice = F.array_distinct(F.filter("__ids", lambda x, i: (i > 0) & (x == F.get("__ids", i - 1))))
     parts = [
-        found(twice, 1, F.lit(True), "id is used more than once"), found(dangling, 2, F.lit(True), F.concat("end", F.lit(" names no node"))), found(n, 3, lacks.isNotNull(), F.concat(lacks, F.lit(" is missing"))),
-        found(n, 4, wrong("type", TYPES), F.concat(F.lit("type "), "type")), *sides, *tips, color(n), color(e), bad_json,
+        F.transform(twice, lambda x: row(1, x, "id is used more than once")), dangling("fromNode"), dangling("toNode"), found("nodes", 3, lambda x: lacks(x).isNotNull(), lambda x: F.concat(lacks(x), F.lit(" is missing"))),
+        known("nodes", 4, "type", TYPES), *[known("edges", 5, c, SIDES) for c in ("fromSide", "toSide")], *[known("edges", 6, c, ENDS) for c in ("fromEnd", "toEnd")], color("nodes"), color("edges"),
+        F.when(~F.col("v"), F.array(row(8, F.lit(None), "not valid JSON"))).otherwise(F.array().cast("array<struct<rule:int,id:string,what:string>>")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return rows.select("canvas", F.explode(F.flatten(F.array(*parts))).alias("x")).select("canvas", "x.*")
 
 
 def contained(canvases: DataFrame) -> DataFrame:
-    """canvas, grp, id: nodes that lie within a group's bounds (a join on the canvas with a range condition)."""
-    n = nodes(canvases)
-    g = n.where(F.col("type") == "group").select("canvas", F.col("id").alias("grp"), *[F.col(c).alias(f"g_{c}") for c in PLACED])
-    inside = (F.col("x") >= F.col("g_x")) & (F.col("y") >= F.col("g_y")) & (F.col("x") + F.col("width") <= F.col("g_x") + F.col("g_width")) & (F.col("y") + F.col("height") <= F.col("g_y") + F.col("g_height"))
-    return n.join(g, "canvas").where((F.col("id") != F.col("grp")) & inside).select("canvas", "grp", "id")
+    """canvas, grp, id: nodes that lie within a group's bounds; each canvas is searched where it is."""
+
+    def inside(n: Column, g: Column) -> Column:
+        within = (n["x"] >= g["x"]) & (n["y"] >= g["y"]) & (n["x"] + n["width"] <= g["x"] + g["width"]) & (n["y"] + n["height"] <= g["y"] + g["height"])
+        return (n["id"] != g["id"]) & within
+
+    groups = F.filter("nodes", lambda n: n["type"] == "group")
+    pairs = F.transform(groups, lambda g: F.transform(F.filter("nodes", lambda n: inside(n, g)), lambda n: F.struct(g["id"].alias("grp"), n["id"].alias("id"))))
+    return _held(canvases).select("canvas", F.explode(F.flatten(pairs)).alias("x")).select("canvas", "x.*")
 
 
 def reachable(canvases: DataFrame, starts: DataFrame) -> DataFrame:
