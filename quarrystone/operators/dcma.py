@@ -14,7 +14,7 @@ from quarrystone.functions.values import labelled, tenths
 from quarrystone.operators import calendar as cal
 from quarrystone.operators import path
 from quarrystone.operators.schedule import HARD, RELATION, Schedules
-from quarrystone.session import checkpointed
+from quarrystone.session import stored
 
 # Number, name, threshold of each check.
 CHECKS = {
@@ -97,11 +97,11 @@ def _days_text(x: Column) -> Column:
 
 def assess(s: Schedules, baseline: Schedules | None = None) -> DataFrame:
     """file, check, name, count, denominator (null for the last two indices), value (of the indices), threshold, passed, note."""
-    t = checkpointed(flagged_tasks(s, baseline))
+    t = stored(flagged_tasks(s, baseline))
     n = lambda c: F.count_if(F.col(c)).alias(c)
     a = t.groupBy("file").agg(*[n(c) for c in ("inc", "work", "no_p", "no_s", "c1", "c5", "c6", "c7", "c8", "c9", "c10", "due", "c11", "done", "loaded")], F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("c7"), F.col("float_d"))).alias("worst"), F.count_if(F.col("due") & F.col("act_end").isNotNull()).alias("due_done"))
     r = flagged_rels(s, t).groupBy("file").agg(F.count(F.lit(1)).alias("rels"), n("c2"), n("c3"), n("c4"))
-    on = checkpointed(path.longest_path(s))
+    on = stored(path.longest_path(s))
     sound = F.coalesce(F.col("reason").rlike("^(" + "|".join(SOUND) + ")"), F.lit(True))
     starts = on.groupBy("file").agg(F.count_distinct(F.when(~sound, F.col("reason"))).alias("c12"), F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("starts"))
     # of activities that tie at the end the first in the file is measured

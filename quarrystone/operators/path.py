@@ -37,7 +37,7 @@ def ends_of(s: Schedules) -> DataFrame:
     """Relationships with both ends' columns, as p_... and s_..., and the options that matter."""
     side = lambda name, cols: s.tasks.select(F.col("file").alias(f"{name}_file"), F.col("task_id").alias(f"{name}_task"), *[F.col(c).alias(f"{name}_{c}") for c in cols])
     p, q = side("p", PRED), side("s", SUCC)
-    o = s.projects.select("file", "lag_calendar", "retained", "override", "lag_early_start", F.col("cal_id").alias("project_cal"), "has_options")
+    o = s.per_file.select("file", "lag_calendar", "retained", "override", "lag_early_start", F.col("cal_id").alias("project_cal"), "has_options")
     rows = s.rels.withColumnRenamed("type", "rel_type")
     rows = rows.join(p, (F.col("file") == F.col("p_file")) & (F.col("pred_id") == F.col("p_task")))
     rows = rows.join(q, (F.col("file") == F.col("s_file")) & (F.col("succ_id") == F.col("s_task")))

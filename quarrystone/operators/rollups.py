@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions.values import labelled, tenths
 from quarrystone.operators import calendar as cal
 from quarrystone.operators import path
-from quarrystone.session import checkpointed
+from quarrystone.session import stored
 from quarrystone.operators.schedule import MILESTONES, RELATION, STATUS, TASK_TYPE, ScheduleError, Schedules, wbs_paths
 
 STATUS_GROUPS = {"not_started": ["TK_NotStart"], "active": ["TK_Active"], "complete": ["TK_Complete"], "incomplete": ["TK_NotStart", "TK_Active"]}
@@ -147,7 +147,7 @@ def wbs_rollup(s: Schedules, depth: int | None = None) -> DataFrame:
 def relationships(s: Schedules, code: str | None = None, gap: DataFrame | None = None) -> DataFrame:
     """Relationships that touch the project (or an activity of it), with lag_d and gap_d in days."""
     g = s.gaps if gap is None else gap
-    rows = g.join(s.projects.select("file", F.col("proj_id").alias("__proj")), "file").where((F.col("succ_proj") == F.col("__proj")) | (F.col("pred_proj") == F.col("__proj")))
+    rows = g.join(s.per_file.select("file", F.col("proj_id").alias("__proj")), "file").where((F.col("succ_proj") == F.col("__proj")) | (F.col("pred_proj") == F.col("__proj")))
     if code:
         at = path.named_ends(s, code).select("file", F.col("node").alias("__node"))
         rows = rows.join(at, "file").where((F.col("succ_id") == F.col("__node")) | (F.col("pred_id") == F.col("__node")))
@@ -204,7 +204,7 @@ def daily_load(s: Schedules) -> DataFrame:
     rows = rows.join(s.rsrc.select("file", "rsrc_id", F.col("type").alias("rsrc_type")), ["file", "rsrc_id"], "left").where(~F.coalesce(F.col("rsrc_type") == "RT_Mat", F.lit(False)))
     rows = rows.withColumn("s", F.coalesce("restart", "early_start", "task_restart")).withColumn("f", F.coalesce("reend", "early_end", "task_reend")).where(F.col("f") > F.col("s"))
     rows = cal.with_hours_between(rows.select("file", "rsrc_id", "cal_id", "remain_qty", "s", "f"), s.days, "cal_id", "s", "f", "total").where(F.col("total") > 0)
-    rows = checkpointed(rows.select("file", "rsrc_id", "cal_id", "s", "f", F.col("s").cast("date").alias("s_day"), F.col("f").cast("date").alias("f_day"), (F.col("remain_qty") / F.col("total")).alias("rate")))
+    rows = stored(rows.select("file", "rsrc_id", "cal_id", "s", "f", F.col("s").cast("date").alias("s_day"), F.col("f").cast("date").alias("f_day"), (F.col("remain_qty") / F.col("total")).alias("rate")))
     d = s.days.where("day_sec > 0").select("file", F.col("clndr_id").alias("cal_id"), "day", "periods", "day_sec")
     ends = rows.withColumn("day", F.explode(F.array_distinct(F.array("s_day", "f_day")))).join(d, ["file", "cal_id", "day"])
     lo, hi = (F.timestamp_diff("SECOND", F.col("day").cast("timestamp_ntz"), F.col(c)).cast("double") for c in ("s", "f"))

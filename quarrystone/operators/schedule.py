@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.values import moment, number
 from quarrystone.operators import calendar as cal
-from quarrystone.session import checkpointed
+from quarrystone.session import checkpointed, stored
 from quarrystone.sources.xer import ScheduleError, newest, read_lines, require_schedules, rows_of, table_of
 
 # Codes of the export format and their labels.
@@ -35,6 +35,8 @@ CONSTRAINT = {
 }
 #: rows of the day dimension that every worker may hold
 BROADCAST_DAYS = 200_000
+#: files, and calendars of all files, that every worker may hold
+BROADCAST_FILES = 50_000
 HARD = ["CS_MSO", "CS_MEO", "CS_MSOB", "CS_MEOB", "CS_MANDSTART", "CS_MANDFIN"]
 MILESTONES = ["TT_Mile", "TT_FinMile"]
 SUMMARIES = ["TT_LOE", "TT_WBS"]
@@ -113,15 +115,22 @@ class Schedules:
         """From typed tables; ``calendars`` as ``calendar.calendars`` gives them."""
         # the model is read many times by each operator: it is made once, and lost executors cost nothing before it
         calendars = checkpointed(calendars.unionByName(cal.always(projects)))
-        tasks = checkpointed(newest(tasks, "file", "task_id"))
+        tasks = _once(stored(tasks), "file", "task_id")
         wbs = newest(wbs, "file", "wbs_id")
         rsrc = newest(rsrc, "file", "rsrc_id")
         chosen = checkpointed(_with_calendar(_with_options(choose_projects(projects, tasks, project), options), calendars))
-        model = checkpointed(_model_tasks(tasks, chosen, calendars))
+        # a row per file or calendar: joined by a shuffle, all activities of a file would meet in one task
+        few = chosen.count() <= BROADCAST_FILES and calendars.count() <= BROADCAST_FILES
+        model = stored(_model_tasks(tasks, F.broadcast(chosen), F.broadcast(calendars)) if few else _model_tasks(tasks, chosen, calendars))
         # a relationship with an end that is in no table does not exist
         ids = model.select("file", "task_id")
         known = rels.join(ids.select("file", F.col("task_id").alias("succ_id")), ["file", "succ_id"], "left_semi").join(ids.select("file", F.col("task_id").alias("pred_id")), ["file", "pred_id"], "left_semi")
-        return Schedules(chosen, model, checkpointed(known), wbs, calendars, rsrc, rates, assigned, projects, headers)
+        return Schedules(chosen, model, stored(known), wbs, calendars, rsrc, rates, assigned, projects, headers)
+
+    @functools.cached_property
+    def per_file(self) -> DataFrame:
+        """``projects``, for joins on the file alone: held by every worker while they are few."""
+        return _small(self.projects)
 
     @property
     def mine(self) -> DataFrame:
@@ -148,7 +157,7 @@ class Schedules:
         """``path.gaps`` of these schedules, made once."""
         from quarrystone.operators.path import gaps
 
-        return checkpointed(gaps(self))
+        return stored(gaps(self))
 
     @property
     def days(self) -> DataFrame:
@@ -160,6 +169,16 @@ class Schedules:
         return self._days
 
 
+def _once(rows: DataFrame, *keys: str) -> DataFrame:
+    """``newest`` of stored rows. Whether any keys repeat is asked of the keys alone: whole rows are shuffled only if some do."""
+    twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows if twice.isEmpty() else stored(newest(rows, *keys))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_FILES else df
+
+
 def choose_projects(projects: DataFrame, tasks: DataFrame, wanted: str | None) -> DataFrame:
     """One project per file: the one named, by id or short name, else part of its name; else the export-flagged one with most activities."""
     counts = tasks.groupBy("file", "proj_id").agg(F.count(F.lit(1)).alias("n_tasks"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.operators import calendar as cal
 from quarrystone.operators.schedule import Schedules
+from quarrystone.session import stored
 
 DATA_DATE = {"old": "1998-07-01 00:00:00", "new": "1998-08-01 00:00:00"}
 CLOSED, HALF = dt.date(1996, 12, 25), dt.date(1997, 7, 5)
@@ -47,7 +48,8 @@ def _choice(k: Column, cases: list[tuple[Column, str]], otherwise: str) -> Colum
     return out
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What both versions are made of, stored: the orders with their customer's order before."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     lines = t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     o = t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pr"), F.col("o_orderdate").cast("date").alias("d"))
@@ -56,11 +58,12 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = lambda day, h: F.timestamp_add("HOUR", F.lit(h), day.cast("timestamp_ntz"))
     b = b.withColumn("s0", hour(F.col("d"), 8)).withColumn("f0", hour(F.date_add("d", F.col("n").cast("int")), 17))
     before = Window.partitionBy("c").orderBy("d", "k")
-    return b.withColumn("pf", F.lag("f0").over(before)).withColumn("pk", F.lag("k").over(before))
+    return stored(b.withColumn("pf", F.lag("f0").over(before)).withColumn("pk", F.lag("k").over(before)))
 
 
-def schedule(spark: SparkSession, sf_dir: str, version: str = "old") -> Schedules:
-    b, k, new = _base(spark, sf_dir), F.col("k"), version == "new"
+def schedule(spark: SparkSession, sf_dir: str, version: str = "old", orders: DataFrame | None = None) -> Schedules:
+    """The schedule of a version; ``orders`` is what ``base`` gave, where two versions share it."""
+    b, k, new = base(spark, sf_dir) if orders is None else orders, F.col("k"), version == "new"
     shift = F.when(k % 13 == 0, k % 5).otherwise(0).cast("int") if new else F.lit(0)
     moved = lambda c, days: F.timestamp_add("DAY", days, c)
     start = moved(F.when((k % 2 == 0) & F.col("pf").isNotNull(), F.col("pf")).otherwise(F.col("s0")), shift)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.plans.orders_schedule import DAYS_SQL, gaps_sql, hours_sql, schedule, sql, worked_sql
+from quarrystone.plans.orders_schedule import DAYS_SQL, base, gaps_sql, hours_sql, schedule, sql, worked_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -640,7 +640,8 @@ BOTH_SQL = f"{OLD.strip()}, {NEW.strip()}, {DAYS_SQL.strip()}, c AS (SELECT a.k,
 def _both(spark: SparkSession, sf_dir: str):
     from quarrystone.operators.diff import compare
 
-    old, new = schedule(spark, sf_dir, "old"), schedule(spark, sf_dir, "new")
+    orders = base(spark, sf_dir)
+    old, new = schedule(spark, sf_dir, "old", orders), schedule(spark, sf_dir, "new", orders)
     return old, new, compare(old, new)
 
 
@@ -708,7 +709,8 @@ def _logic_text(lag: str) -> str:
 def g8_logic_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrystone.operators.diff import logic_changes
 
-    return logic_changes(schedule(spark, sf_dir, "old"), schedule(spark, sf_dir, "new"))
+    orders = base(spark, sf_dir)
+    return logic_changes(schedule(spark, sf_dir, "old", orders), schedule(spark, sf_dir, "new", orders))
 
 
 @query(f"WITH {OLD.strip()}, {NEW.strip()} SELECT 'added' AS change, code, name, finish FROM u_t WHERE k NOT IN (SELECT k FROM t_t) UNION ALL SELECT 'deleted', code, name, finish FROM t_t WHERE k NOT IN (SELECT k FROM u_t)")
